@@ -1,0 +1,398 @@
+"""The operators against brute force, exact round trips and held-out accuracy."""
+
+import gzip
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from causalgraph.llm import chat, containment, crossparse, linededup, pfair, quality, sanitize, simhash, toxicity, warc
+from causalgraph.llm.common import words
+
+SF = "/root/testdata/sf0.001"
+
+
+def load(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---- 1
+
+
+def test_chunks_round_trip_and_digests(spark):
+    pages = load(spark, "pages")
+    chunks = warc.chunk_pages(pages, 1000)
+    back = {r.page_id: bytes(r.html).decode() for r in warc.join_chunks(chunks).collect()}
+    assert back == {r.page_id: r.html for r in pages.collect()}
+    for r in chunks.where("is_last").collect():
+        assert r.running_sha256 == hashlib.sha256(back[r.page_id].encode()).hexdigest()
+    first = chunks.where("page_id = 0 and chunk_no = 0").first()
+    assert first.running_sha256 == hashlib.sha256(back[0].encode()[:1000]).hexdigest()
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archive_files(spark, tmp_path, packed):
+    pages = load(spark, "pages")
+    chunks = warc.chunk_pages(pages, 1000)
+    assert sum(r.records for r in warc.write_warc(chunks, f"{tmp_path}/w").collect()) == pages.count()
+    path = f"{tmp_path}/w"
+    if packed:
+        for k, p in enumerate((tmp_path / "w").iterdir()):
+            data = p.read_bytes()
+            cut = data.find(b"WARC/1.1", 10)
+            with open(p.with_suffix(".warc.gz"), "wb") as out:  # members: the first record, then the rest
+                out.write(gzip.compress(data[:cut]) + gzip.compress(data[cut:]))
+            p.unlink()
+    rows = warc.read_warc(spark, path, 777).collect()
+    texts: dict = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.record_no, r.chunk_no)):
+        texts[r.record_id] = texts.get(r.record_id, b"") + bytes(r.payload)
+        assert r.running_sha256 == hashlib.sha256(texts[r.record_id]).hexdigest()
+    assert sorted(t.decode() for t in texts.values()) == sorted(r.html for r in pages.collect())
+
+
+# ---- 2
+
+
+def brute_segments(x):
+    """Maximal scoring segments by their recursive definition: the best (shortest) one, then left and right of it."""
+    best = None
+    for a in range(len(x)):
+        for b in range(a, len(x)):
+            s = sum(x[a : b + 1])
+            if s > 0 and (best is None or (s, -(b - a)) > (best[0], -(best[2] - best[1]))):
+                best = (s, a, b)
+    if best is None:
+        return []
+    s, a, b = best
+    return brute_segments(x[:a]) + [best] + [(t, i + b + 1, j + b + 1) for t, i, j in brute_segments(x[b + 1 :])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([None, None, 2.25, 3.5, 5.125]), max_size=24))
+def test_segments(marks):
+    x = [-1.0 if m is None else m for m in marks]
+    got = toxicity.segments([(i, m) for i, m in enumerate(marks) if m], 1.0)
+    want = brute_segments(x)
+    assert [round(s, 6) for s, _, _ in sorted(got, key=lambda t: t[1])] == [round(s, 6) for s, _, _ in want]
+    for s, a, b in got:
+        assert abs(sum(x[a : b + 1]) - s) < 1e-9
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = load(spark, "documents", sf), load(spark, "labels", sf)
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    found = {r.doc_id for r in toxicity.find(docs, model).select("doc_id").distinct().collect()}
+    held = labels.where("doc_id % 2 = 1").toPandas()
+    hit = held.doc_id.isin(found)
+    assert hit[held.toxic == 1].mean() > 0.8 and hit[held.toxic == 0].mean() < 0.02
+
+
+# ---- 3
+
+
+def test_wildcard_keys_find_every_pair_within_reach():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2, 256)
+    for _ in range(200):
+        b = a.copy()
+        b[rng.choice(256, 15, replace=False)] ^= 1  # 15 bits over 8 segments: one has at most one
+        assert ((a != b).reshape(8, 32).sum(axis=1) <= 1).any()
+
+
+def test_simhash_against_all_pairs(spark):
+    docs = load(spark, "documents", "/root/testdata/sf0.01")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    want = simhash.brute_groups([r.doc_id for r in rows], [r.text for r in rows])
+    got = simhash.groups(docs).toPandas()
+    pairs = lambda f: {(a, b) for _, g in f.groupby("keep_id").doc_id for a in g for b in g if a < b}
+    w, g = pairs(want), pairs(got)
+    assert len(w & g) >= 0.9 * len(w) and g <= w
+    kept = simhash.deduplicate(docs)
+    assert kept.count() == docs.count() - len(got) + got.keep_id.nunique()
+
+
+def test_simhash_links_chains_in_a_bucket():
+    sigs = [np.zeros(4, np.uint64) for _ in range(4)]
+    for i in range(4):
+        sigs[i][0] = np.uint64((1 << (30 * i)) - 1) if i < 3 else np.uint64(2**63)
+    edges = simhash.link([10, 11, 12, 13], [s.tobytes() for s in sigs], 30)
+    assert len(edges) == 3 and {x for e in edges for x in e} == {10, 11, 12, 13}
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
+# ---- 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_parse(reference, text):
+    automaton = crossparse.SuffixAutomaton()
+    automaton.extend(reference)
+    subs = {tuple(reference[i:j]) for i in range(len(reference)) for j in range(i + 1, len(reference) + 1)}
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and tuple(text[i : i + n + 1]) in subs:
+            n += 1
+        count, i = count + 1, i + n
+    assert automaton.phrases(text) == count
+
+
+def test_own_phrases():
+    assert crossparse.own_phrases("aaaaaa") == 3 and crossparse.own_phrases("abab") == 3 and crossparse.own_phrases("") == 0
+
+
+def test_relative_entropy_tells_good_from_bad(spark):
+    sf = "/root/testdata/sf0.01"
+    got = crossparse.relative_entropy(load(spark, "documents", sf), load(spark, "labels", sf), shard_tokens=20_000)
+    x = got.join(load(spark, "labels", sf), "doc_id").toPandas()
+    assert got.count() == 1000
+    assert x[x.quality == 0].relative_entropy.median() > x[x.quality == 1].relative_entropy.median() + 2
+
+
+def test_relative_entropy_of_one_document(spark):
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i}", "en") for i in range(6)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")
+    for r in crossparse.relative_entropy(docs, labels).collect():
+        if r.reference_tokens:
+            assert r.n_tokens == 6 and r.cross_phrases == 2  # the shared run, and its own number, which is elsewhere
+            assert r.cross_entropy == pytest.approx(2 * math.log2(r.reference_tokens + 1) / 6)
+
+
+# ---- 5
+
+
+TURNS = [{"role": "system", "text": "be brief"}, {"role": "user", "text": "</s>? 1"}, {"role": "assistant", "text": "a\nb"}, {"role": "user", "text": "</"}, {"role": "assistant", "text": "c\nd"}]
+
+
+def test_spans_of_appending_templates():
+    whole = chat.tagged(TURNS)
+    for (a, b, _, bad), m in zip(chat.spans(chat.tagged, TURNS), TURNS):
+        assert not bad and whole[a:b] == chat.tagged([m])
+    whole = chat.headed(TURNS)
+    for (a, b, _, bad), m in zip(chat.spans(chat.headed, TURNS), TURNS):
+        assert not bad and whole[a:b] == f"### {m['role'].capitalize()}:\n{m['text']}\n\n"
+
+
+def test_tail_that_begins_like_a_turn():
+    one = lambda m: f"{'#' if m['role'] == 'user' else '>'}{m['text']};"
+    tail = lambda ms: "".join(map(one, ms)) + "#end"
+    whole = tail(TURNS)
+    assert [whole[a:b] for a, b, _, _ in chat.spans(tail, TURNS)] == [one(m) for m in TURNS]
+
+
+def test_rewriting_templates_are_told():
+    assert [x[3] for x in chat.spans(chat.trimmed, TURNS)] == [False, False, False, False, True]
+    newest_first = lambda ms: "".join(m["text"] + "|" for m in reversed(ms))
+    assert any(x[3] for x in chat.spans(newest_first, [{"role": "user", "text": t} for t in "ab"])) is False  # a constant tail
+    assert any(x[3] for x in chat.spans(lambda ms: f"{len(ms)}:" + "".join(m["text"] for m in ms), TURNS))
+
+
+def test_spans_over_the_table(spark):
+    talks = load(spark, "conversations")
+    got = chat.format_spans(talks).where("template = 'tagged'").orderBy("conv_id", "turn_no").collect()
+    texts = {(r.conv_id, r.turn): (r.role, r.text) for r in talks.collect()}
+    ends: dict = {}
+    for r in got:
+        role, text = texts[r.conv_id, r.turn]
+        assert r.span_start == ends.get(r.conv_id, 0) and not r.rewrites_history
+        ends[r.conv_id] = r.span_end
+        assert r.span_end - r.span_start == len(chat.tagged([{"role": role, "text": text}]))
+
+
+# ---- 6
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=9))
+def test_pfair_windows(shares):
+    plan, total = pfair.period(shares), sum(shares)
+    assert Counter(plan) == dict(enumerate(shares))
+    done = [0] * len(shares)
+    for slot, i in enumerate(plan):
+        done[i] += 1
+        assert (done[i] - 1) * total // shares[i] <= slot < -(-done[i] * total // shares[i])
+        for k, a in enumerate(shares):
+            assert abs(done[k] - a * (slot + 1) / total) < 1
+
+
+def brute_mix(shares, blocks):
+    """Slot by slot over the whole length, starting anew when a source ends."""
+    left, done, out, start = dict(blocks), Counter(), {}, 0
+    while active := [s for s in shares if left[s]]:
+        plan = pfair.period([shares[s] for s in active])
+        for t in range(10**6):
+            s = active[plan[t % len(plan)]]
+            out[s, done[s]] = start + t
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                break
+        start += t + 1
+    return out
+
+
+def test_mix_against_slot_by_slot(spark):
+    rng = random.Random(2)
+    rows = [(i, f"t{i}", rng.choices("abcd", [60, 25, 10, 5])[0]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pfair.mix(docs, {"a": 3, "b": 3, "c": 2, "d": 2}, block_docs=4, resolution=10).toPandas()
+    counts = Counter(r[2] for r in rows)
+    want = brute_mix({"a": 3, "b": 3, "c": 2, "d": 2}, {s: -(-n // 4) for s, n in sorted(counts.items())})
+    assert {(r.source, r.block_no): r.slot for r in got.itertuples()} == want
+    assert len(got) == 1500 and got.place.is_unique and (got.groupby(["source", "block_no"]).size() <= 4).all()
+
+
+def test_mix_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(pfair, "BUCKET_ROWS", 10)
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("only").alias("source"))
+    assert sorted(r.place for r in pfair.mix(docs).collect()) == list(range(700))
+
+
+# ---- 7
+
+
+def test_entities():
+    line = "mail a.b@c.example.org or +1 (555) 010-1234, 10.20.30.40, card 4111 1111 1111 1111; key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff. Version 2.0 of 1999"
+    assert [k for k, *_ in sanitize.entities(line)] == ["EMAIL", "PHONE", "IP", "CARD", "SECRET"]
+
+
+def test_sanitise_against_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    lines = []
+    for i in range(400):
+        line = rng.choices(vocab, k=8)
+        if i % 10 == 0:
+            line += ["passcode", f"{i:032x}"]
+        if i % 40 == 1:
+            line += ["zorro", "diego", "vega@example.org"]
+        lines.append(" ".join(line))
+    docs = spark.createDataFrame([(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(100)], "doc_id long, text string")
+    got = {(r.entity, r.term) for r in sanitize.disclosing(docs.select("text")).collect()}
+    n, both, ent, term, distinct = len(lines), Counter(), Counter(), Counter(), {}
+    for line in lines:
+        found = sanitize.entities(line)
+        ws = {w for w, *_ in sanitize.outside(line, found)}
+        es = {k for k, *_ in found} | {sanitize._key(k, v) for k, v, *_ in found}
+        term.update(set(sanitize.TERM.findall(line.lower())))
+        ent.update(es)
+        for e in es:
+            for w in ws:
+                both[e, w] += 1
+                distinct.setdefault((e, w), set()).add(line)
+    want = set()
+    for (e, w), b in both.items():
+        m = min(ent[e], term[w])
+        pmi = math.log2(b * n / (ent[e] * term[w])) * b / (b + 1) * m / (m + 1)
+        if len(distinct[e, w]) >= sanitize.MIN_LINES and pmi >= sanitize.DISCLOSURE * math.log2(n / ent[e]):
+            want.add((e, w))
+    assert got == want and ("SECRET", "passcode") in got and any(w == "zorro" for _, w in got)
+    direct = sanitize.sanitise(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    joined = sanitize.sanitise(docs, model_rows=0).toPandas().sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(direct, joined)
+    text = "\n".join(direct.text)
+    assert "passcode" not in text and "zorro" not in text and "vega@" not in text and "[SECRET]" in text
+    clean = [t for t in lines if not sanitize.entities(t)]
+    assert all(t in text for t in clean)
+
+
+# ---- 8
+
+
+def test_containment_against_all_pairs(spark):
+    rng = random.Random(7)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([6, 16, 30, 60, 200])))) for i in range(60)]
+    docs = []
+    for i in range(120):
+        body = rng.choices(vocab, k=rng.choice([10, 300, 4000]))
+        if i % 3 == 0:
+            at = rng.randrange(len(body))
+            body[at:at] = items[i % 60][1].split()
+        docs.append((i, " ".join(body)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    own = [(i, grams(t)) for i, t in docs]
+    want = {(i, j) for j, t in items for g in [grams(t)] for i, s in own if g and len(g & s) >= 0.8 * len(g)}
+    got = {(r.doc_id, r.item_id) for r in containment.leaks(d, b).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) >= 40
+    slabs = {(r.doc_id, r.item_id) for r in containment.leaks(d, b, slab_items=17).collect()}
+    assert slabs <= want and len(slabs) >= 0.98 * len(want)
+
+
+def test_functions_needed_keep_the_failure_bound():
+    n = containment.functions_needed(50, 128, 0.8, 1e-3)
+    jaccard = 40 / (50 + 128 - 40)
+    assert (1 - jaccard) ** n <= 1e-3 < (1 - jaccard) ** (n - 1)
+
+
+# ---- 9
+
+
+def test_sketch_merges_and_bounds_error(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice("xy"), rng.lognormvariate(-3, 1)) for _ in range(4000)]
+    f = spark.createDataFrame(rows, "lang string, source string, v double").withColumns({f"__q_{r}": F.col("v") for r in quality.RULES})
+    merged = quality.merge(quality.sketch(f), ["lang"])
+    whole = quality.merge(quality.sketch(f.withColumn("source", F.lit("z"))), ["lang"])
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    got = {(r.lang, r.rule): r.fence for r in quality.fences(merged, ["lang"]).collect()}
+    for lang in "ab":
+        x = np.sort([v for a, _, v in rows if a == lang])
+        q2, q3 = x[math.ceil(0.5 * len(x)) - 1], x[math.ceil(0.75 * len(x)) - 1]
+        assert got[lang, "symbols"] == pytest.approx(q3 + quality.REACH * max(q3 - q2, 0.01), rel=0.08)
+
+
+def test_quality_follows_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    kept = {r.doc_id for r in quality.keep_good(load(spark, "documents", sf)).select("doc_id").collect()}
+    lab = load(spark, "labels", sf).toPandas()
+    assert lab[lab.quality == 1].doc_id.isin(kept).mean() > 0.98 and lab[lab.quality == 0].doc_id.isin(kept).mean() < 0.1
+
+
+# ---- 10
+
+
+def test_bitmaps_give_the_kept_lines(spark):
+    docs = load(spark, "documents")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    seen, want = set(), {}
+    for r in rows:
+        kept = []
+        for line in r.text.split("\n"):
+            if not line.strip(" ") or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        want[r.doc_id] = "\n".join(kept)
+    gone = {i for i, t in want.items() if not t and next(r for r in rows if r.doc_id == i).text}
+    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.deduplicate_lines(docs).collect()}
+    assert set(got) == set(want) - gone
+    assert all(got[i][0] == want[i] for i in got)
+    changed = [i for i in got if want[i] != next(r for r in rows if r.doc_id == i).text]
+    assert changed and all(got[i][1] == len(want[i]) for i in changed)
+
+
+def test_lines_are_ranged_once(spark, capsys):
+    linededup.first_occurrences(load(spark, "documents")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and plan.count("Sort [") == 1
