@@ -93,8 +93,8 @@ def risk_label(magnitude: Column, direction: Column) -> Column:
 
 
 def falling(x: Column, full: float, zero: float) -> Column:
-    """1 up to `full`, 0 from `zero` on, linear between."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (x - full) / (zero - full)))
+    """1 up to `full`, 0 from `zero` on, linear between; null for null."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (x - full) / (zero - full))))
 
 
 def cns_mpo(weight: Column, xlogp: Column, tpsa: Column, hbd: Column, hba: Column, rotatable: Column) -> Column:

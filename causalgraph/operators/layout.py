@@ -308,7 +308,7 @@ def spectral_kernel(ids: list[str], edges: list[tuple[str, str, float]], k: int
     values, vectors = np.linalg.eigh(np.diag(a.sum(axis=1)) - a)
     chosen = min(n, max(2, k or eigengap(list(values), k_max)))
     # An eigenvector's sign is free: its largest entry counts as positive.
-    v = vectors[:, 1 : chosen + 1]
+    v = vectors[:, 1:chosen]
     v = v * np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])])
     return list(kmeans(v, chosen))
 

@@ -174,7 +174,7 @@ register("k13_risk", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'No e
 _FALL = lambda x, a, b: f"least(1.0, greatest(0.0, 1 - ({x} - {a}) / ({b} - {a}.0)))"
 
 
-@register("k14_k15_cns_mpo", f"""WITH s AS (SELECT p_partkey, {_FALL("p_retailprice / 3", 360, 500)} + coalesce({_FALL("CASE WHEN p_size % 7 <> 0 THEN p_size / 10.0 END", 3, 5)}, 0.5) + {_FALL("p_size * 2", 40, 90)} + {_FALL("p_size % 4", 0, 3)} + {_FALL("p_size % 12", 5, 10)} + {_FALL("p_size % 11", 5, 10)} AS score FROM part)
+@register("k14_k15_cns_mpo", f"""WITH s AS (SELECT p_partkey, {_FALL("p_retailprice / 3", 360, 500)} + CASE WHEN p_size % 7 = 0 THEN 0.5 ELSE {_FALL("p_size / 10.0", 3, 5)} END + {_FALL("p_size * 2", 40, 90)} + {_FALL("p_size % 4", 0, 3)} + {_FALL("p_size % 12", 5, 10)} + {_FALL("p_size % 11", 5, 10)} AS score FROM part)
 SELECT p_partkey, score, CASE WHEN p_partkey % 10 = 0 THEN 'none' WHEN score >= 4 THEN 'good' WHEN score >= 3 THEN 'moderate' ELSE 'poor' END AS bbb FROM s""")
 def _mpo(spark, sf):
     c = F.col

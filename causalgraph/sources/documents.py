@@ -209,27 +209,31 @@ def source_records(text: DataFrame) -> DataFrame:
     """(ord, record map<string,string>) of the object literals with an id in rows (value) of source text; braces are matched, strings may span lines."""
 
     def records(s: str) -> Iterator[dict]:
-        depth, quote, starts, i = 0, "", [], 0
+        quote, bodies, i = "", [[]], 0  # the text of each open brace, without what lies in inner braces
         while i < len(s):
             c = s[i]
             if quote:
                 if c == "\\":
+                    bodies[-1].append(c)
                     i += 1
+                    c = s[i : i + 1]
                 elif c == quote:
                     quote = ""
             elif c in "'\"`":
                 quote = c
             elif c == "{":
-                starts.append(i)
-            elif c == "}" and starts:
-                a = starts.pop()
-                body = s[a + 1 : i]
-                flat = re.sub(r"\{[^{}]*\}", "", body)
-                pairs = re.findall(r"(\w+)\s*:\s*(?:'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|`((?:[^`\\]|\\.)*)`|([\w.+-]+))", flat)
+                bodies.append([])
+                i += 1
+                continue
+            elif c == "}":
+                body = "".join(bodies.pop()) if len(bodies) > 1 else ""
+                pairs = re.findall(r"(\w+)\s*:\s*(?:'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|`((?:[^`\\]|\\.)*)`|([\w.+-]+))", body)
                 rec = {k: re.sub(r"\\(.)", r"\1", next((x for x in v if x), "")) for k, *v in pairs}
                 if "id" in rec:
                     yield rec
-            depth += 1
+                i += 1
+                continue
+            bodies[-1].append(c)
             i += 1
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
