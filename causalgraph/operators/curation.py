@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from ..functions import scalars as S
 from ..functions.confidence import Scheme
 from ..graph import CausalGraph
+from ..plans.rank import rank
 from .basic import first_by
 
 
@@ -118,7 +119,7 @@ def repair_candidates(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def metrics(values: DataFrame) -> DataFrame:
     """(n, least, most, mean, median, p25, p75) of values(value); quartiles are the values of rank floor(n p)."""
-    ranked = values.where("value is not null").withColumn("r", F.row_number().over(W.orderBy("value")) - 1).crossJoin(F.broadcast(values.agg(F.count("value").alias("n"))))
+    ranked = rank(values.where("value is not null").select("value"), ["value"], "r").crossJoin(F.broadcast(values.agg(F.count("value").alias("n"))))
     at = lambda p: F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col("value")))
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.median("value").alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"))
 
@@ -275,7 +276,8 @@ def integrate_verified(verified: DataFrame, nodes: DataFrame, current: DataFrame
     rows = rows.join(ids, F.col("s") == F.col("i"), "left_semi").join(ids, F.col("t") == F.col("i"), "left_semi")
     rows = rows.join(current.select(F.col("source").alias("cs"), F.col("target").alias("ct")), (F.col("s") == F.col("cs")) & (F.col("t") == F.col("ct")), "left_anti")
     rows = first_by(rows, ["s", "t"], "ord", "k")
-    number = F.row_number().over(W.orderBy("ord", "k")) + (start - 1)
+    rows = rank(rows, ["ord", "k"], "before")
+    number = F.col("before") + start
     method = S.normalize_method(F.col("method_type"))
     return rows.select(F.concat(F.lit("V"), F.lpad(number.cast("string"), 4, "0")).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), S.normalize_relation(F.col("relation")).alias("relation"), method.alias("method_type"), F.when(method.isNull(), F.col("confidence")).alias("causal_confidence"))
 

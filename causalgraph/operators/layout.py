@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 
 from ..graph import CausalGraph
 from ..plans.lineage import checkpoint
+from ..plans.rank import rank, running_total
 
 NODE_WIDTH, NODE_HEIGHT, BUFFER = 180.0, 60.0, 20.0
 LAYER_SPACING, NODE_SPACING, SWEEPS = 250.0, 70.0, 24
@@ -213,9 +214,8 @@ def ghost_nodes(edges: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFra
     a, b = layers.select(F.col("id").alias("source"), F.col("layer").alias("ls")), layers.select(F.col("id").alias("target"), F.col("layer").alias("lt"))
     spans = edges.select("id", "source", "target", "ord").join(a, "source").join(b, "target")
     spans = spans.withColumns({"lo": F.least("ls", "lt"), "hi": F.greatest("ls", "lt")})
-    before = F.coalesce(F.sum(F.greatest(F.col("hi") - F.col("lo") - 1, F.lit(0))).over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # One row an edge of a single drawing passes the window's one partition; only long spans are numbered.
-    long = spans.where("hi - lo > 1").withColumn("before", before)
+    # Only edges that pass a layer are numbered.
+    long = running_total(spans.where("hi - lo > 1"), ["ord"], (F.col("hi") - F.col("lo") - 1).cast("bigint"), "before")
     ghosts = long.select("id", "source", "target", "ls", "lt", "before", "lo", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("layer"))
     name = F.concat(F.lit("__ghost_"), F.col("id"), F.lit("_"), (F.col("before") + F.col("layer") - F.col("lo")).cast("string"))
     ghosts = ghosts.select(name.alias("ghost"), "layer", F.col("id").alias("original_edge_id"), "source", "target", "ls", "lt")
@@ -431,8 +431,8 @@ def back_edge_routes(edges: DataFrame, positions: DataFrame, stagger: float = 20
     """(edge_id, seq, x1, y1, x2, y2): three segments by two waypoints above everything, staggered by rank."""
     a, b = positions.select(F.col("id").alias("source"), F.col("x").alias("xa"), F.col("y").alias("ya")), positions.select(F.col("id").alias("target"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     top = F.broadcast(positions.agg(F.min("y").alias("top")))
-    rows = edges.select("id", "source", "target").join(a, "source").join(b, "target").where("xa >= xb").crossJoin(top)
-    rows = rows.withColumn("h", F.col("top") - margin - stagger * (F.row_number().over(W.orderBy("id")) - 1))
+    rows = edges.select("id", "source", "target").join(a, "source").join(b, "target").where("xa >= xb")
+    rows = rank(rows, ["id"], "n").crossJoin(top).withColumn("h", F.col("top") - margin - stagger * F.col("n"))
     pts = F.array(*[F.struct(F.lit(i).alias("seq"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")) for i, (x1, y1, x2, y2) in enumerate([(F.col("xa"), F.col("ya"), F.col("xa"), F.col("h")), (F.col("xa"), F.col("h"), F.col("xb"), F.col("h")), (F.col("xb"), F.col("h"), F.col("xb"), F.col("yb"))], 1)])
     return rows.select(F.col("id").alias("edge_id"), F.explode(pts).alias("p")).select("edge_id", "p.*")
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.confidence import LEVELS
 from ..functions.scalars import literal_map
 from ..graph import CATEGORIES, RELATIONS, CausalGraph
+from ..plans.rank import rank
 
 NODE_FIELDS = ["id", "label", "category", "subtype", "module_id", "description", "roles", "pmid"]
 EDGE_FIELDS = ["id", "source", "target", "relation", "module_id", "causal_confidence", "mechanism_description", "key_insight", "pmid", "first_author", "year", "method_type", "notes"]
@@ -100,8 +100,6 @@ def quote_csv(c: Column, sep: str = ",") -> Column:
 
 
 def _delimited(df: DataFrame, names: list[str], sep: str) -> DataFrame:
-    from ..sources.documents import snake  # noqa: F401  (names follow the reader's)
-
     camel = lambda c: c.split("_")[0] + "".join(w.capitalize() for w in c.split("_")[1:])
     rows = df.select("ord", F.concat_ws(sep, *[quote_csv(F.array_join(c, ";") if c == "roles" else F.col(c), sep) for c in names]).alias("value"))
     return _document(sep.join(map(camel, names)), [rows], "").where("part < 2")
@@ -146,4 +144,4 @@ def report(rows: DataFrame, name: str) -> DataFrame:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """With ord from an explicit sort."""
-    return df.withColumn("ord", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
+    return rank(df, list(order), "ord")
