@@ -101,11 +101,28 @@ def test_toxicity_held_out(spark):
 
 def test_wildcard_keys_find_every_pair_within_reach():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 2, 256)
+    a = rng.integers(0, 2, simhash.BITS)
+    reach = 2 * simhash.SEGMENTS - 1  # one segment has at most one of so many bits
     for _ in range(200):
         b = a.copy()
-        b[rng.choice(256, 15, replace=False)] ^= 1  # 15 bits over 8 segments: one has at most one
-        assert ((a != b).reshape(8, 32).sum(axis=1) <= 1).any()
+        b[rng.choice(simhash.BITS, reach, replace=False)] ^= 1
+        assert min(sum(a[x:y] != b[x:y]) for x, y in zip(simhash.CUTS, simhash.CUTS[1:])) <= 1
+
+
+def test_keys_meet_exactly_within_a_bit_of_a_segment(spark):
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, (6, simhash.BITS)).astype(np.uint8)
+    for k, flips in enumerate(([3], [3, 30], [3, 4], list(range(0, 256, 13)), []), 1):
+        bits[k] = bits[0]
+        bits[k, flips] ^= 1
+    rows = [(int(k), np.packbits(b).tobytes()) for k, b in enumerate(bits)]
+    keys = simhash._keys(spark.createDataFrame(rows, "sid long, sig binary")).toPandas()
+    assert (keys.groupby("sid").size() == simhash.BITS).all()
+    sets = {k: set(g.key) for k, g in keys.groupby("sid")}
+    for i in range(6):
+        for j in range(i):
+            near = any((bits[i, x:y] != bits[j, x:y]).sum() <= 1 for x, y in zip(simhash.CUTS, simhash.CUTS[1:]))
+            assert bool(sets[i] & sets[j]) == near
 
 
 def test_simhash_against_all_pairs(spark):
