@@ -31,7 +31,7 @@ ENTITIES = {
     "CARD": r"(?<![\w.-])(?:\d[ -]?){12,18}\d(?![\w-])",
     "IP": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "SSN": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "PHONE": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
+    "PHONE": r"(?<!\w)(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|\+\d{8,15}|\d{3}[.-]\d{3,4}[.-]\d{4})(?!\w)",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in ENTITIES.items()))
 TERM = re.compile(r"[^\W\d_]{2,}")

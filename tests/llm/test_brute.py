@@ -291,6 +291,7 @@ def test_mix_over_many_buckets(spark, monkeypatch):
 def test_entities():
     line = "mail a.b@c.example.org or +1 (555) 010-1234, 10.20.30.40, card 4111 1111 1111 1111; key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff. Version 2.0 of 1999"
     assert [k for k, *_ in sanitize.entities(line)] == ["EMAIL", "PHONE", "IP", "CARD", "SECRET"]
+    assert [k for k, *_ in sanitize.entities("call 555-010-1234 or +44 20 7946 0958, not 10 000 000 or 2024-01-15")] == ["PHONE", "PHONE"]
 
 
 def test_sanitise_against_brute_force(spark):
