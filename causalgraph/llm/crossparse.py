@@ -114,30 +114,34 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
     for each doc_id and text.  Other columns are ignored.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    reference = text.join(good, "doc_id", "left_semi")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
     # A token is a word or a mark; words are about six characters long with their space.
-    size = F.sum(F.length("text")) / 6
-    shards = reference.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(size / shard_tokens)).cast("int").alias("n")).select("key", "n")
+    # Sizes need no text beyond the scan.
+    sizes = text.select("doc_id", "key", F.length("text").alias("chars")).join(good, "doc_id", "left_semi")
+    shards = sizes.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.sum("chars") / 6 / shard_tokens)).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
     # The other shards in turn, so that a document of the reference never meets its own.
     other = F.pmod(own + 1 + F.pmod(F.xxhash64("doc_id", F.lit("other")), F.greatest(F.col("n") - 1, F.lit(1))), F.col("n")).cast("int")
-    counts = F.broadcast(shards)  # one row a language
-    ref = reference.join(counts, "key").select("key", own.alias("shard"), F.lit(0).alias("kind"), "doc_id", "lang", "text").dropDuplicates(["key", "doc_id", "text"])
-    ask = text.join(counts, "key", "left").select("key", F.coalesce(other, F.lit(0)).alias("shard"), F.lit(1).alias("kind"), "doc_id", "lang", "text")
-    rows = ref.unionByName(ask).repartition("key", "shard").sortWithinPartitions("key", "shard", "kind", "doc_id", F.xxhash64("text"))
+    # The text is shuffled twice, at every size: to learn whether a document is a
+    # reference, and to its shards.  The number of shards is one row a language.
+    known = text.join(good.hint("merge"), "doc_id", "left").join(F.broadcast(shards), "key", "left")
+    ways = F.array_compact(F.array(F.when(F.col("good"), F.struct(own.alias("shard"), F.lit(0).alias("kind"))), F.struct(F.coalesce(other, F.lit(0)).alias("shard"), F.lit(1).alias("kind"))))
+    rows = known.select("key", F.explode(ways).alias("w"), "doc_id", "lang", "text").select("key", "w.shard", "w.kind", "doc_id", "lang", "text")
+    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "kind", "doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, automaton = None, SuffixAutomaton()
+        at, automaton, last = None, SuffixAutomaton(), None
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "lang", "n_tokens", "reference_tokens", "cross_phrases", "self_phrases", "cross_entropy", "relative_entropy")}
             cols = [batch.column(c).to_pylist() for c in ("key", "shard", "kind", "doc_id", "lang", "text")]
             for key, shard, kind, doc, lang, t in zip(*cols):
                 if (key, shard) != at:
-                    at, automaton = (key, shard), SuffixAutomaton()
+                    at, automaton, last = (key, shard), SuffixAutomaton(), None
                 tokens = TOKEN.findall(t) if t else []
                 if kind == 0:
-                    automaton.extend(tokens)
+                    if (doc, t) != last:
+                        automaton.extend(tokens)
+                    last = (doc, t)
                     continue
                 c, own_c, cross, rel = score(automaton, tokens)
                 for k, v in zip(out, (doc, lang, len(tokens), automaton.size, c, own_c, cross, rel)):
