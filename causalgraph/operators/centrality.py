@@ -25,6 +25,12 @@ def degree(g: CausalGraph) -> DataFrame:
     return degree_of(g.nodes, g.pairs()).orderBy(F.col("total").desc(), "node_id")
 
 
+def node_degree(g: CausalGraph, node_id: str) -> DataFrame:
+    """(id, degree) of one node, 0 for one without edges."""
+    ends = (F.col("source") == node_id).cast("bigint") + (F.col("target") == node_id).cast("bigint")
+    return g.edges.agg(F.coalesce(F.sum(ends), F.lit(0)).alias("degree")).select(F.lit(node_id).alias("id"), "degree")
+
+
 def betweenness(g: CausalGraph, weighted: bool = False, tolerance: float = 1e-10) -> DataFrame:
     """Directed betweenness over (n-1)(n-2), parallel edges counting apart.
 

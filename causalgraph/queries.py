@@ -209,7 +209,7 @@ on_trade("k22_node_type", "SELECT id, CASE subtype WHEN 'Cell' THEN 'cell' WHEN
 _DEG = "x AS (SELECT source AS n, 0 AS i, 1 AS o FROM {e} UNION ALL SELECT target, 1, 0 FROM {e} UNION ALL SELECT id, 0, 0 FROM {n}) SELECT n AS node_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS total, sum(i + o) / (SELECT count(*) - 1 FROM {n}) AS normalized FROM x GROUP BY n"
 on_trade("a01_degree", ", " + _DEG.format(e="edges", n="nodes"))(A.degree)
 register("a01_degree_supply", f"WITH nn AS ({G.SUPPLY_NODES}), ee AS ({G.SUPPLY_EDGES}), " + _DEG.format(e="ee", n="nn"))(lambda spark, sf: (lambda n, e: A.degree_of(n, e.toDF("src", "dst")))(*G.supply(spark, sf)))
-on_trade("a02_node_degree", f"SELECT '{START}' AS id, count(*) AS degree FROM (SELECT source AS n FROM edges UNION ALL SELECT target FROM edges) AS x WHERE n = '{START}'")(lambda g: B.hubs(g, 0).where(F.col("id") == START))
+on_trade("a02_node_degree", f"SELECT '{START}' AS id, count(*) AS degree FROM (SELECT source AS n FROM edges UNION ALL SELECT target FROM edges) AS x WHERE n = '{START}'")(lambda g: A.node_degree(g, START))
 _DIST = """, d0(s, v, k) AS (SELECT id, id, 0 FROM nodes UNION SELECT s, target, k + 1 FROM d0 JOIN edges ON v = source WHERE k < 24), d AS (SELECT s, v, min(k) AS k FROM d0 GROUP BY s, v)"""
 on_trade("a03_betweenness", _DIST + """, w(s, v, k) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT w.s, e.target, w.k + 1 FROM w JOIN edges e ON w.v = e.source JOIN d ON d.s = w.s AND d.v = e.target AND d.k = w.k + 1),
 c AS (SELECT s, v, any_value(k) AS k, count(*) AS n FROM w GROUP BY s, v),
