@@ -117,19 +117,24 @@ def repair_candidates(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.select("id", "pmid", "score", F.when(F.col("score") >= 1, "HIGH").when(F.col("score") >= 0.6, "MEDIUM").otherwise("LOW").alias("tier"))
 
 
-def metrics(values: DataFrame) -> DataFrame:
-    """(n, least, most, mean, median, p25, p75) of values(value); quartiles are the values of rank floor(n p)."""
-    ranked = rank(values.where("value is not null").select("value"), ["value"], "r").crossJoin(F.broadcast(values.agg(F.count("value").alias("n"))))
-    at = lambda p: F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col("value")))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.median("value").alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"))
-
-
-def grouped_metrics(values: DataFrame, by: list[str]) -> DataFrame:
-    """As `metrics` for each group, in parallel."""
-    w = W.partitionBy(*by)
-    ranked = values.where("value is not null").withColumns({"r": F.row_number().over(w.orderBy("value")) - 1, "n": F.count(F.lit(1)).over(w)})
-    at = lambda p: F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col("value")))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.median("value").alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"))
+def metrics(values: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, n, least, most, mean, median, p25, p75) of values(*by, value); quartiles are the values of rank floor(n p).
+
+    Ranks come from one range partitioning by group and value, so that a large group is
+    spread over many tasks; exact, without collecting values.
+    """
+    by = by or []
+    rows = rank(values.where("value is not null").select(*by, "value"), [*by, "value"], "g")
+    groups = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("size"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    ranked = rows.join(groups, same) if by else rows.crossJoin(F.broadcast(groups))
+    ranked = ranked.withColumn("r", F.col("g") - F.col("first"))
+    at = lambda r: F.max(F.when(F.col("r") == r, F.col("value")))
+    n = F.col("size")
+    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), middle.alias("median"), at(F.floor(n * 0.25)).alias("p25"), at(F.floor(n * 0.75)).alias("p75"))
 
 
 def tier(percentile: Column) -> Column:

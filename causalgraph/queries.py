@@ -394,7 +394,7 @@ def _repair(spark, sf):
 
 
 register("d09_metrics", "WITH o AS (SELECT o_orderpriority AS p, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT p, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 4) AS mean, median(v) AS median, max(v) FILTER (r = floor(n * 0.25)) AS p25, max(v) FILTER (r = floor(n * 0.75)) AS p75 FROM o GROUP BY p")(
-    lambda spark, sf: D.grouped_metrics(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("value")), ["p"]).withColumn("mean", F.round("mean", 4))
+    lambda spark, sf: D.metrics(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("value")), ["p"]).withColumn("mean", F.round("mean", 4))
 )
 on_trade("d10_verdicts", "SELECT CASE WHEN ord % 3 = 0 THEN 'pending' WHEN ord % 3 = 1 THEN 'supported' ELSE 'refuted' END AS verdict, count(*) AS n FROM edges GROUP BY 1")(lambda g: D.verdict_tally(g.edges.select("id"), g.edges.where("ord % 3 <> 0").select("id", F.when(F.col("ord") % 3 == 1, "supported").otherwise("refuted").alias("verdict"))))
 on_trade("d11_patch_pmids", "SELECT id, CASE WHEN ord % 2 = 0 AND pmid <> '' THEN '1' ELSE pmid END AS pmid FROM edges")(lambda g: D.patch_pmids(g.edges, g.edges.where("pmid <> ''").select("id", F.when(F.col("ord") % 2 == 0, F.col("pmid")).otherwise("other").alias("old_pmid"), F.lit("1").alias("new_pmid"))).select("id", "pmid"))
