@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint
+from ..plans.lineage import checkpoint, shared_folder
 
 WORD = re.compile(r"\w+")
 

@@ -1,29 +1,40 @@
 """Ziv-Merhav cross-parsing against reference text of the corpus.
 
-The reference of a language is the text of its documents that labels call good.  It is
-cut by hash of doc_id into shards of about `shard_tokens` tokens, so that it grows with
-the corpus while each suffix automaton keeps its size.  A document is parsed against
-one shard, never the one that holds the document itself: from left to right, each
-phrase is the longest run of tokens that occurs in the shard, a token that occurs
-nowhere is a phrase of its own.  With c phrases over n tokens against a reference of N
-tokens the cross entropy is c log2(N) / n bits a token; with the c' phrases of the
-document's own incremental (LZ78) parse, its entropy is c' log2(c') / n; the score is
-their difference.
+The reference of a language is the text of all its documents that labels call good.
+Every document is parsed against the whole of it, less the document's own text: from
+left to right, each phrase is the longest run of tokens that occurs in another document
+of the reference, a token that occurs nowhere is a phrase of its own.  With c phrases
+over n tokens against a reference of N tokens the cross entropy is c log2(N) / n bits a
+token; with the c' phrases of the document's own incremental (LZ78) parse, its entropy
+is c' log2(c') / n; the score is their difference.
+
+Scale: the reference is cut by hash of doc_id into suffix arrays of about `shard_tokens`
+tokens, written once to the folder that executors share and mapped into memory one after
+the other.  A batch of documents takes the longest match at each position over all of
+them, then the greedy parse; results don't depend on the cut.  Documents aren't
+shuffled.  The work is the documents' tokens times the number of suffix arrays.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix64, shared_folder, small_side, table
 
-SHARD_TOKENS = 50_000
+#: Of one suffix array; about 60 bytes each while it is built, 28 mapped.
+SHARD_TOKENS = 4_000_000
+#: Tokens of documents that are matched at once.
+BATCH_TOKENS = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SCHEMA = "doc_id long, lang string, n_tokens long, reference_tokens long, cross_phrases long, self_phrases long, cross_entropy double, relative_entropy double"
 
@@ -95,63 +106,301 @@ def own_phrases(tokens) -> int:
     return count + (at != 0)
 
 
-def score(automaton: SuffixAutomaton, tokens: list[str]) -> tuple[int, int, float | None, float | None]:
-    n = len(tokens)
-    if not n or not automaton.size:
-        return 0, own_phrases(tokens), None, None
-    c, own = automaton.phrases(tokens), own_phrases(tokens)
-    cross = c * math.log2(automaton.size + 1) / n
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def powers(n: int) -> np.ndarray:
+    out = np.full(n, BASE, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def prefix_hashes(hashes: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """h with h[b] - h[a] the polynomial hash of tokens a to b, times the power of a; modulo 2^64."""
+    return np.append(np.uint64(0), np.add.accumulate(hashes * power[: len(hashes)]))
+
+
+class Hasher:
+    """Token -> 64-bit hash; remembers what it has met, up to a bound."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        import xxhash
+
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        known = self.known
+        for t in set(tokens).difference(known):
+            known[t] = xxhash.xxh3_64_intdigest(t)
+        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def suffix_array(key: np.ndarray, k: int) -> np.ndarray:
+    """By prefix doubling, from keys that order the first k tokens of each suffix."""
+    n = len(key)
+    sa = np.argsort(key, kind="stable")
+    first = np.append(True, key[sa[1:]] != key[sa[:-1]])
+    rank = np.empty(n, np.int64)
+    at = np.arange(n)
+    rank[sa] = np.maximum.accumulate(np.where(first, at, 0))
+    left = at[~(first & np.append(first[1:], True))]
+    while len(left):
+        own = sa[left]
+        later = np.where(own + k < n, rank[np.minimum(own + k, n - 1)], n + own)  # behind the end all is mark
+        both = rank[own] << 32 | later
+        order = np.argsort(both, kind="stable")
+        own, both = own[order], both[order]
+        sa[left] = own
+        first = np.append(True, both[1:] != both[:-1])
+        rank[own] = np.maximum.accumulate(np.where(first, left, 0))
+        left = left[~(first & np.append(first[1:], True))]
+        k *= 2
+    return sa
+
+
+class Shard:
+    """A suffix array over the tokens of some documents, each followed by a mark that no text holds."""
+
+    #: Its arrays: distinct token hashes, tokens, the suffixes' places, their first tokens
+    #: packed, their documents, the steps (of 255 at most) to the nearest suffixes before
+    #: and after with another document, prefix hashes, doc_ids, the documents' lengths.
+    NAMES = ("vocabulary", "tokens", "sa", "key", "doc", "before", "after", "hashes", "ids", "lengths")
+
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        self.vocabulary, self.tokens, self.sa, self.key, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths = arrays
+        self.bits = int(len(self.vocabulary) + 1).bit_length()
+        self.width = 62 // self.bits
+
+    @classmethod
+    def build(cls, ids: list[int], texts: list[np.ndarray]) -> Shard:
+        """`texts` are token hashes; those of one doc_id stand together."""
+        names, doc_of = np.unique(np.array(ids, np.int64), return_inverse=True)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([np.append(t, np.uint64(0)) for t in texts])
+        mark = np.cumsum(lengths + 1) - 1
+        vocabulary, token = np.unique(flat, return_inverse=True)
+        # The mark sorts behind all tokens.
+        token = token.astype(np.int64)
+        if vocabulary[0] == 0:
+            vocabulary, token = vocabulary[1:], token - 1
+        token[mark] = len(vocabulary)
+        flat[mark] = mix64(np.full(1, 77, np.uint64))[0]
+        bits = int(len(vocabulary) + 1).bit_length()
+        width = 62 // bits
+        key = np.zeros(len(token), np.int64)
+        padded = np.append(token, np.full(width, len(vocabulary)))
+        for k in range(width):
+            key = key << bits | padded[k : k + len(token)]
+        sa = suffix_array(key, width)
+        doc = np.repeat(doc_of, lengths + 1)[sa].astype(np.int32)
+        at = np.arange(len(sa))
+        change = np.append(True, doc[1:] != doc[:-1])
+        start = np.maximum.accumulate(np.where(change, at, 0))
+        end = np.append(at[change][1:], len(sa))[np.cumsum(change) - 1]
+        hashes = prefix_hashes(flat, powers(len(flat)))
+        sums = np.bincount(doc_of, weights=lengths, minlength=len(names)).astype(np.int64)
+        near = [np.minimum(x, 255).astype(np.uint8) for x in (at - start + 1, end - at)]
+        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], doc, *near, hashes, names, sums])
+
+    def save(self, folder: str) -> None:
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path)
+        for name in self.NAMES:
+            held = io.BytesIO()
+            np.save(held, getattr(self, name))
+            with files.open_output_stream(f"{path}/{name}.npy") as out:
+                out.write(held.getbuffer())
+
+    @classmethod
+    def load(cls, folder: str) -> Shard:
+        """Mapped into memory from a local or mounted folder, else read."""
+        files, path = fs.FileSystem.from_uri(folder)
+        if isinstance(files, fs.LocalFileSystem):
+            return cls([np.load(f"{path}/{name}.npy", mmap_mode="r").view(np.ndarray) for name in cls.NAMES])
+        return cls([np.load(io.BytesIO(files.open_input_file(f"{path}/{name}.npy").read())) for name in cls.NAMES])
+
+    def index(self, ids: list[int | None]) -> np.ndarray:
+        """The place of each doc_id in this shard, or -1."""
+        asked = np.array([-1 if d is None else d for d in ids], np.int64)
+        at = np.minimum(np.searchsorted(self.ids, asked), len(self.ids) - 1)
+        return np.where((self.ids[at] == asked) & np.array([d is not None for d in ids]), at, -1)
+
+    def equal(self, text: np.ndarray, power: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return (text[a + n] - text[a]) * power[b] == (self.hashes[b + n] - self.hashes[b]) * power[a]
+
+    def common(self, text: np.ndarray, power: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The number of equal tokens from a of the text and b of the shard on, `most` at most."""
+        most = np.minimum(most, len(self.hashes) - 1 - b)
+        out, fail, at, step = np.zeros(len(a), np.int64), np.ones(len(a), np.int64), np.arange(len(a)), 1
+        while len(at):
+            at = at[most[at] >= step]
+            at = at[self.equal(text, power, a[at], b[at], step)]
+            out[at], fail[at] = step, 2 * step
+            step *= 2
+        # The first `out` agree, the first `fail` don't.
+        at = np.flatnonzero((fail - out > 1) & (most > out))
+        while len(at):
+            mid = (out[at] + np.minimum(fail[at], most[at] + 1)) // 2
+            same = self.equal(text, power, a[at], b[at], mid)
+            out[at] = np.where(same, mid, out[at])
+            fail[at] = np.where(same, np.minimum(fail[at], most[at] + 1), mid)
+            at = at[fail[at] - out[at] > 1]
+        return out
+
+    def longest(self, tokens: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each position of documents that end at `end`, the longest run in another document than `own` (index, or -1)."""
+        n, size, v = len(tokens), len(self.sa), len(self.vocabulary)
+        if not n or not v:
+            return np.zeros(n, np.int64)
+        place = np.minimum(np.searchsorted(self.vocabulary, distinct := np.unique(tokens)), v - 1)
+        token = np.where(self.vocabulary[place] == distinct, place, -1)[np.searchsorted(distinct, tokens)]
+        a = np.flatnonzero(token >= 0)
+        # Packed first tokens, as far as they are known; zeros behind, where only order counts.
+        key, whole = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for k in range(self.width):
+            there = a + k < end[a]
+            t = np.where(there, token[np.minimum(a + k, n - 1)], -1)
+            whole &= t >= 0
+            key = key << self.bits | np.where(whole, t, 0)
+        # In the order of the shard, so that neighbours look at the same places.
+        order = np.argsort(key)
+        a, key, whole = a[order], key[order], whole[order]
+        some, back = np.unique(key, return_inverse=True)
+        lo = np.searchsorted(self.key, some, "left")[back]
+        hi = np.where(whole, np.searchsorted(self.key, some, "right")[back], lo)
+        most = end[a] - a
+        at = np.flatnonzero(lo < hi)
+        while len(at):
+            mid = (lo[at] + hi[at]) // 2
+            b = self.sa[mid].astype(np.int64)
+            same = self.common(text, power, a[at] + self.width, b + self.width, most[at] - self.width) + self.width
+            # The text's suffix is less where it ends; else the next tokens decide.
+            ended = same == most[at]
+            mine = token[np.minimum(a[at] + same, n - 1)]
+            its = self.tokens[b + same]
+            less = ended | (mine < its)
+            hi[at] = np.where(less, mid, hi[at])
+            lo[at] = np.where(less, lo[at], mid + 1)
+            at = at[lo[at] < hi[at]]
+        out = np.zeros(n, np.int64)
+        for near, step, sign in ((lo - 1, self.before, -1), (lo, self.after, 1)):
+            at = np.flatnonzero((near >= 0) & (near < size))
+            while len(at := at[self.doc[near[at]] == own[a[at]]]):
+                near[at] += sign * step[near[at]].astype(np.int64)
+                at = at[(near[at] >= 0) & (near[at] < size)]
+            at = np.flatnonzero((near >= 0) & (near < size))
+            out[a[at]] = np.maximum(out[a[at]], self.common(text, power, a[at], self.sa[near[at]].astype(np.int64), most[at]))
+        return out
+
+
+def score(n: int, c: int, own: int, reference: int) -> tuple[int, int, float | None, float | None]:
+    if not n or not reference:
+        return 0, own, None, None
+    cross = c * math.log2(reference + 1) / n
     return c, own, cross, cross - own * math.log2(max(own, 1)) / n
 
 
 def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each document; see SCHEMA.
 
-    The reference text never leaves its shard: documents are sent to the shard they are
-    parsed against, reference first, and stream past its automaton.  A null language is
-    a language of its own.  Null and empty texts, and languages with no good document,
+    reference_tokens counts the tokens of its language's reference less its own.  A
+    phrase lies within one reference text.  A null language is a language of its own.
+    Null and empty texts, and documents without another good document in their language,
     get null entropies.  Repeated rows are scored each; as references they count once
     for each doc_id and text.  Other columns are ignored.
     """
+    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
+    good = small_side(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    reference = text.where("length(text) > 0").join(good, "doc_id", "left_semi")
     # A token is a word or a mark; words are about six characters long with their space.
     # Sizes need no text beyond the scan.
-    sizes = text.select("doc_id", "key", F.length("text").alias("chars")).join(good, "doc_id", "left_semi")
-    shards = sizes.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.sum("chars") / 6 / shard_tokens)).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
-    # The other shards in turn, so that a document of the reference never meets its own.
-    other = F.pmod(own + 1 + F.pmod(F.xxhash64("doc_id", F.lit("other")), F.greatest(F.col("n") - 1, F.lit(1))), F.col("n")).cast("int")
-    # The text is shuffled twice, at every size: to learn whether a document is a
-    # reference, and to its shards.  The number of shards is one row a language.
-    known = text.join(good.hint("merge"), "doc_id", "left").join(F.broadcast(shards), "key", "left")
-    ways = F.array_compact(F.array(F.when(F.col("good"), F.struct(own.alias("shard"), F.lit(0).alias("kind"))), F.struct(F.coalesce(other, F.lit(0)).alias("shard"), F.lit(1).alias("kind"))))
-    rows = known.select("key", F.explode(ways).alias("w"), "doc_id", "lang", "text").select("key", "w.shard", "w.kind", "doc_id", "lang", "text")
-    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "kind", "doc_id", F.xxhash64("text"))
+    shards = reference.select("key", F.length("text").alias("chars")).groupBy("key").agg(F.ceil(F.sum("chars") / 6 / shard_tokens).cast("int").alias("n"))
+    rows = reference.join(F.broadcast(shards), "key").select("key", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int").alias("shard"), "doc_id", "text")
+    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "doc_id", F.xxhash64("text"))
+    folder = f"{shared_folder(spark)}/cross-parsing-{uuid.uuid4()}"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, at, last = Hasher(), None, None
+        ids: list[int] = []
+        texts: list[np.ndarray] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if ids:
+                shard, path = Shard.build(ids, texts), f"{folder}/{uuid.uuid4()}"
+                shard.save(path)
+                yield pa.RecordBatch.from_pydict({"key": [at[0]], "path": [path], "n": [int(shard.lengths.sum())]})
+            ids.clear()
+            texts.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, automaton, last = None, SuffixAutomaton(), None
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "lang", "n_tokens", "reference_tokens", "cross_phrases", "self_phrases", "cross_entropy", "relative_entropy")}
-            cols = [batch.column(c).to_pylist() for c in ("key", "shard", "kind", "doc_id", "lang", "text")]
-            for key, shard, kind, doc, lang, t in zip(*cols):
+            for key, shard, doc, t in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "doc_id", "text"))):
                 if (key, shard) != at:
-                    at, automaton, last = (key, shard), SuffixAutomaton(), None
-                tokens = TOKEN.findall(t) if t else []
-                if kind == 0:
-                    if (doc, t) != last:
-                        automaton.extend(tokens)
-                    last = (doc, t)
-                    continue
-                c, own_c, cross, rel = score(automaton, tokens)
-                for k, v in zip(out, (doc, lang, len(tokens), automaton.size, c, own_c, cross, rel)):
+                    yield from done()
+                    at, last = (key, shard), None
+                if (doc, t) != last:
+                    ids.append(doc)
+                    texts.append(hasher(TOKEN.findall(t)))
+                last = (doc, t)
+        yield from done()
+
+    paths: dict[str, list[str]] = {}
+    totals: dict[str, int] = {}
+    for r in rows.mapInArrow(build, "key string, path string, n long").collect():
+        paths.setdefault(r.key, []).append(r.path)
+        totals[r.key] = totals.get(r.key, 0) + r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        loaded: dict[str, list[Shard]] = {}
+        held: dict[str, list[tuple]] = {}
+        sizes: dict[str, int] = {}
+        power = powers(0)
+
+        def done(key: str) -> pa.RecordBatch:
+            nonlocal power
+            docs, sizes[key] = held.pop(key), 0
+            if key not in loaded:
+                loaded[key] = [Shard.load(p) for p in paths.get(key, ())]
+            lengths = np.array([len(d[2]) for d in docs])
+            ends = np.cumsum(lengths)
+            tokens = np.concatenate([d[2] for d in docs])
+            end = np.repeat(ends, lengths)
+            if (most := max([len(tokens), *(len(s.sa) for s in loaded[key])]) + 1) > len(power):
+                power = powers(most)
+            hashes = prefix_hashes(tokens, power)
+            best, rest = np.zeros(len(tokens), np.int64), np.full(len(docs), totals.get(key, 0))
+            for shard in loaded[key]:
+                own = shard.index([d[0] for d in docs])
+                rest -= np.where(own >= 0, shard.lengths[own], 0)
+                best = np.maximum(best, shard.longest(tokens, hashes, power, end, np.repeat(own, lengths)))
+            steps = np.maximum(best, 1).tolist()
+            out: dict[str, list] = {k: [] for k in ("doc_id", "lang", "n_tokens", "reference_tokens", "cross_phrases", "self_phrases", "cross_entropy", "relative_entropy")}
+            for (doc, lang, own_tokens, phrases), e, n in zip(docs, ends.tolist(), rest.tolist()):
+                at, c = e - len(own_tokens), 0
+                while at < e:
+                    at += steps[at]
+                    c += 1
+                for k, v in zip(out, (doc, lang, len(own_tokens), n, *score(len(own_tokens), c, phrases, n))):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("reference_tokens", pa.int64()), ("cross_phrases", pa.int64()), ("self_phrases", pa.int64()), ("cross_entropy", pa.float64()), ("relative_entropy", pa.float64()))],
                 list(out),
             )
 
-    return rows.mapInArrow(run, SCHEMA)
+        for batch in batches:
+            for key, doc, lang, t in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "lang", "text"))):
+                tokens = TOKEN.findall(t) if t else []
+                held.setdefault(key, []).append((doc, lang, hasher(tokens), own_phrases(tokens)))
+                sizes[key] = sizes.get(key, 0) + len(tokens) + 1
+                if sizes[key] >= BATCH_TOKENS:
+                    yield done(key)
+        for key in list(held):
+            yield done(key)
+
+    return text.mapInArrow(run, SCHEMA)
 
 
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
