@@ -30,3 +30,14 @@ def test_cross_parsing_against_the_whole_reference(spark):
             others = [t.split() for i, t in enumerate(texts) if i < 40 and i != r.doc_id and (i % 4 == 0) == (r.lang is None)]
             assert r.reference_tokens == sum(map(len, others))
             assert r.cross_phrases == brute_phrases(texts[r.doc_id].split(), others)
+
+
+def test_every_document_with_another_good_one_has_a_score(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefgh", k=5000))] + [" ".join(rng.choices("abcdefgh", k=9)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, "a b c", "fr") for i in range(9)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (100, 1)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in crossparse.relative_entropy(docs, labels, 100).collect()}
+    # The only good French text has no other to be parsed against.
+    assert {i for i, r in rows.items() if r.cross_entropy is None} == {100}
+    assert all(r.reference_tokens == 3 for i, r in rows.items() if i > 100)
