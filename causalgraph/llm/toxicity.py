@@ -76,6 +76,13 @@ def _lambda(rates: list[tuple[float, float]], drift: float) -> float:
     return lo
 
 
+def root_g(y: int, n_toxic: int, n: int, n_clean: int) -> float:
+    """The signed root of the likelihood ratio statistic of y of n_toxic against n of n_clean; no count may be too small for it."""
+    share = (y + n) / (n_toxic + n_clean)
+    g = sum(k * math.log(k / (of * p)) for k, of, p in ((y, n_toxic, share), (n_toxic - y, n_toxic, 1 - share), (n, n_clean, share), (n_clean - n, n_clean, 1 - share)) if k)
+    return math.copysign(math.sqrt(2 * max(g, 0.0)), y * n_clean - n * n_toxic)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, prior: float = 10.0, min_docs: int = 4, min_z: float = 3.0, min_log_odds: float = 3.0) -> Model | None:
     """The model from at most `max_train` labelled documents (the first by hash of doc_id).
 
@@ -129,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, prior: floa
         alpha = prior * corpus.get(w, 0) / n_docs
         a, b = y + alpha, n + alpha
         odds = math.log(a / (n_toxic + prior - a)) - math.log(b / (n_clean + prior - b))
-        if odds >= min_log_odds and odds / math.sqrt(1 / a + 1 / b) >= min_z:
+        if odds >= min_log_odds and root_g(y, n_toxic, n, n_clean) >= min_z:
             scores[w] = odds
             rates.append(((t + alpha) / max(1, clean_tokens + prior), odds))
     if not scores:

@@ -2,7 +2,7 @@
 
 import random
 
-from causalgraph.llm import crossparse
+from causalgraph.llm import crossparse, toxicity
 
 
 def brute_phrases(tokens, others):
@@ -41,3 +41,16 @@ def test_every_document_with_another_good_one_has_a_score(spark):
     # The only good French text has no other to be parsed against.
     assert {i for i, r in rows.items() if r.cross_entropy is None} == {100}
     assert all(r.reference_tokens == 3 for i, r in rows.items() if i > 100)
+
+
+def test_words_that_no_clean_document_holds_are_scored(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(2000):
+        words = rng.choices([f"w{k}" for k in range(300)], k=20)
+        if i < 200:
+            words += ["never"] * (i < 20) + ["once"] * (i < 20)
+        rows.append((i, " ".join([*words, "once"] if i == 999 else words), int(i < 200)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = toxicity.fit(docs, docs.select("doc_id", "toxic")).scores
+    assert "never" in scores and "once" in scores and not any(w.startswith("w") for w in scores)
