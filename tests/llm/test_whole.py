@@ -50,7 +50,8 @@ def test_words_that_no_clean_document_holds_are_scored(spark):
         words = rng.choices([f"w{k}" for k in range(300)], k=20)
         if i < 200:
             words += ["never"] * (i < 20) + ["once"] * (i < 20)
-        rows.append((i, " ".join([*words, "once"] if i == 999 else words), int(i < 200)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+            rng.shuffle(words)
+        rows.append((i, "en", " ".join([*words, "once"] if i == 999 else words), int(i < 200)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, toxic int")
     scores = toxicity.fit(docs, docs.select("doc_id", "toxic")).scores
-    assert "never" in scores and "once" in scores and not any(w.startswith("w") for w in scores)
+    assert scores["never"] > 2 and scores["once"] > 1 and all(abs(x) < 1 for w, x in scores.items() if w.startswith("w"))
