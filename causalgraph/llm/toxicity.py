@@ -5,7 +5,7 @@
    its longest counted prefix for a mean, that of a prefix the next shorter one, and that
    of the shortest the share of toxic documents.  Documents are weighted so that this share
    is the same in every language, and what toxic documents repeat in the same context
-   counts once.  A log-odds shrinks toward zero by two standard errors; scores are signed,
+   (the words beside its first occurrence) counts once.  A log-odds shrinks toward zero by two standard errors; scores are signed,
    and a word that no labelled document holds takes the score of its longest prefix.
 2. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a document.
 3. Extreme values: the best segment of a clean text of n tokens exceeds x with
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table, words
+from .common import checkpoint, small_side, table, words
 
 SCHEMA = "doc_id long, segment_no int, first_token int, last_token int, n_toxic_tokens int, score double, e_value double, doc_p_value double"
 #: Lengths of the prefixes that stand in for unseen words.
@@ -122,7 +122,7 @@ def log_odds(counts: dict[str, tuple[float, float]], n_toxic: float, n_clean: fl
     for w in sorted(counts, key=lambda w: (w[-1] != "*", len(w))):
         y, n = counts[w]
         above = next((p for p in prefixes(w[:-1] if w[-1] == "*" else w) if p in share), None)
-        mean = base if above is None else share[above]
+        mean = min(max(base if above is None else share[above], 1e-4), 1 - 1e-4)
         a, b = y + STRENGTH * mean, n + STRENGTH * (1 - mean)
         odds = math.log(a / b) - log_base
         error = math.sqrt(1 / (y + STRENGTH * base) + 1 / (n + STRENGTH * (1 - base)))
@@ -231,17 +231,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
                     continue
                 toxic.update(own)
                 for a, b, c in zip(["", *tokens], tokens, [*tokens[1:], ""]):
-                    h = xxhash.xxh3_64_intdigest(f"{a} {b} {c}") - (1 << 63)
-                    contexts.add((b, h))
-                    contexts.update((p, h) for p in prefixes(b))
+                    if b in own:  # its first occurrence
+                        own.discard(b)
+                        contexts.add((b, xxhash.xxh3_64_intdigest(f"{a} {b} {c}") - (1 << 63)))
         rows = [(w, float(toxic[w]), clean.get(w, 0.0), k, None) for w, k in docs_.items()] + [(w, 0.0, 0.0, 0, h) for w, h in contexts]
         for i in range(0, len(rows), 100_000):
             yield pd.DataFrame(rows[i : i + 100_000], columns=["w", "y", "n", "d", "c"]).astype({"c": "Int64"})
 
     counted = text.where("not held").mapInPandas(count, "w string, y double, n double, d long, c long")
+    counted = checkpoint(counted.groupBy("w").agg(F.sum("y").alias("y"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.count_distinct("c").alias("c")))
+    # A prefix stands in the contexts of its words.
+    heads = F.transform(F.sequence(F.lit(PREFIX[0]), F.least(F.lit(PREFIX[1]), F.length("w") - 1)), lambda k: F.concat(F.col("w").substr(F.lit(1), k), F.lit("*")))
+    stems = counted.where((F.col("c") > 0) & (F.length("w") > PREFIX[0])).select("c", F.explode(heads).alias("h")).groupBy("h").agg(F.sum("c").alias("ch"))
     # A word of one document tells nothing about another one.
-    counted = counted.groupBy("w").agg(F.sum("y").alias("y"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.count_distinct("c").alias("c")).where("d > 1")
-    counts = {r.w: (min(r.y, r.c), r.n) for r in counted.select("w", "y", "n", "c").toLocalIterator(prefetchPartitions=True)}
+    counted = counted.where("d > 1").join(stems, F.col("w") == F.col("h"), "left").select("w", "y", "n", F.coalesce("ch", "c").alias("c"))
+    counts = {r.w: (min(r.y, r.c), r.n) for r in counted.toLocalIterator(prefetchPartitions=True)}
     scores = log_odds(counts, n_toxic, n_clean)
     if not any(s > 0 for s in scores.values()):
         return None

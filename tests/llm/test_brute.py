@@ -118,13 +118,14 @@ def test_toxicity_fit_against_brute_force(spark):
         all_.update(own)
         for f in own:
             (toxic if r.y else clean)[f] += weight
-        for i, x in enumerate(w if r.y else []):
+        for x in set(w) if r.y else ():
+            i = w.index(x)
             for f in [x, *heads(x)]:
                 contexts.setdefault(f, set()).add((w[i - 1] if i else "", x, w[i + 1] if i + 1 < len(w) else ""))
     share, score = {"": n_toxic / (n_toxic + n_clean)}, {"": 0.0}
     for f in sorted((f for f in all_ if all_[f] > 1), key=lambda f: (f[-1] != "*", len(f))):
         above = next((h for h in heads(f.rstrip("*"))[::-1] if h in share), "")
-        y, n, p, p0 = min(toxic[f], len(contexts.get(f, ()))), clean[f], share[above], share[""]
+        y, n, p, p0 = min(toxic[f], len(contexts.get(f, ()))), clean[f], min(max(share[above], 1e-4), 1 - 1e-4), share[""]
         odds = math.log((y + 2 * p) / (n + 2 * (1 - p))) - math.log(n_toxic / n_clean)
         odds = math.copysign(max(0, abs(odds) - 2 * math.sqrt(1 / (y + 2 * p0) + 1 / (n + 2 * (1 - p0)))), odds)
         if f[-1] == "*":
