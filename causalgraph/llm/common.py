@@ -25,6 +25,17 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The materialised `df`, to be broadcast if it has at most `max_rows` rows."""
     df = checkpoint(df)

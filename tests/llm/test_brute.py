@@ -425,15 +425,29 @@ def test_functions_needed_keep_the_failure_bound():
 def test_sketch_merges_and_bounds_error(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), rng.choice("xy"), rng.lognormvariate(-3, 1)) for _ in range(4000)]
-    f = spark.createDataFrame(rows, "lang string, source string, v double").withColumns({f"__q_{r}": F.col("v") for r in quality.RULES})
+    f = spark.createDataFrame(rows, "lang string, source string, v double").withColumns({r: F.col("v") for r in quality.RULES})
     merged = quality.merge(quality.sketch(f), ["lang"])
     whole = quality.merge(quality.sketch(f.withColumn("source", F.lit("z"))), ["lang"])
     assert sorted(map(tuple, merged.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
     got = {(r.lang, r.rule): r.fence for r in quality.fences(merged, ["lang"]).collect()}
     for lang in "ab":
         x = np.sort([v for a, _, v in rows if a == lang])
-        q2, q3 = x[math.ceil(0.5 * len(x)) - 1], x[math.ceil(0.75 * len(x)) - 1]
-        assert got[lang, "symbols"] == pytest.approx(q3 + quality.REACH * max(q3 - q2, 0.01), rel=0.08)
+        at = lambda q: x[math.ceil(q * len(x)) - 1]
+        assert got[lang, "symbols"] == pytest.approx(at(0.5) + quality.REACH * max((at(1 - q) - at(0.5)) / z for q, z in quality.SPREADS.items()), rel=0.08)
+        assert got[lang, "stops"] == pytest.approx(at(0.5) - quality.REACH * max((at(0.5) - at(q)) / z for q, z in quality.SPREADS.items()), rel=0.08)
+
+
+def test_quality_rules_tell_junk(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "house", "water", "stone", "river", "walked.", "under", "and", "morning,"]) + ("" if rng.random() < 0.5 else rng.choice("abcdefgh") * rng.randrange(1, 4)) for _ in range(n))
+    texts = [prose(rng.randrange(1, 400)) for _ in range(300)]
+    junk = ["### $$$ %%% " * 40, "HA " * 200, "word " * 300, "a line of its own\n" * 60, "x | y | z | " * 50, " ".join("q" * 20 for _ in range(90)), "!!! ??? " * 80]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts + junk)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.keep_good(docs).select("doc_id").collect()}
+    assert kept == set(range(300))
+    # Identical texts have no spread; none lies beyond the fence.
+    same = spark.createDataFrame([(i, "the same text, again", "en", "s") for i in range(9)], docs.schema)
+    assert quality.keep_good(same).count() == 9
 
 
 def test_quality_follows_labels(spark):
