@@ -40,7 +40,8 @@ SPREADS = {0.25: 0.6744897501960817, 0.15: 1.0364333894937898}
 SYMBOLS = "#$%&*@^~<>\\{}|=+_"
 MARKS = "!?;:.,"
 BARS = "|\t"
-STOPS = ["the", "of", "and", "to", "in", "is", "der", "die", "das", "und", "de", "la", "le", "les", "des", "que", "el", "los", "en", "et"]
+#: Common small words: the to of and in is der die das de des und la le les los que el en et.
+STOPS = "t(?:he|o)|of|and|i[ns]|d(?:er|ie|as|es?)|und|l(?:a|es?|os)|que|e[lnt]"
 
 #: Name -> (what is counted, of what, whether much or little of it is bad).
 RULES = {
@@ -70,29 +71,29 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.col("text").cast("string")
     n = F.length(text)
 
-    def without(chars: str) -> Column:
-        return n - F.length(F.translate(text, chars, ""))
+    def matches(pattern: str) -> Column:
+        return n - F.length(F.regexp_replace(text, pattern, ""))
 
     words = F.array_remove(F.split(text, r"\s+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     # Two spaces between words, so that neighbours don't share one.
-    spaced = F.concat(F.lit(" "), F.replace(F.translate(F.lower(text), "\t\n\r\f", "    "), F.lit(" "), F.lit("  ")), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.lower(F.array_join(words, "  ")), F.lit(" "))
     counts = {
         "chars": n,
-        "symbols": without(SYMBOLS),
-        "marks": without(MARKS),
-        "bars": without(BARS),
-        "capitals": n - F.length(F.regexp_replace(text, r"\p{Lu}", "")),
-        "letters": F.length(F.translate(text, " \t\n\r\f\x0b", "")),
-        "stops": F.length(F.regexp_replace(spaced, f" ({'|'.join(STOPS)}) ", " $1x ")) - F.length(spaced),
+        "symbols": matches(f"[{SYMBOLS.replace(chr(92), chr(92) * 2)}]"),
+        "marks": matches(f"[{MARKS}]"),
+        "bars": matches(f"[{BARS}]"),
+        "capitals": matches(r"\p{Lu}"),
+        "letters": F.length(F.array_join(words, "")),
+        "stops": F.length(F.regexp_replace(spaced, f" ({STOPS}) ", " $1x ")) - F.length(spaced),
         "words": F.size(words),
         "distinct": F.size(F.array_distinct(words)),
         "lines": F.size(lines),
         "once": F.size(F.array_distinct(lines)),
     }
-    rows = docs.select(*keep, F.xxhash64(text).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.when(text.isNotNull(), F.struct(*[c.alias(k) for k, c in counts.items()])).alias("c"))
+    rows = docs.select(*keep, F.xxhash64(text).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.struct(*[c.alias(k) for k, c in counts.items()]).alias("c"))
     c = {k: F.col(f"c.{k}") for k in counts} | {"repeats": F.col("c.words") - F.col("c.distinct"), "again": F.col("c.lines") - F.col("c.once")}
-    return rows.select(*keep, "th", "lang", "source", *[_value(c[what], c[of], r).alias(r) for r, (what, of, _) in RULES.items()])
+    return rows.select(*keep, "th", "lang", "source", *[F.when(F.col("c.chars").isNotNull(), _value(c[what], c[of], r)).alias(r) for r, (what, of, _) in RULES.items()])
 
 
 def sketch(featured: DataFrame) -> DataFrame:
@@ -199,12 +200,13 @@ def _sql() -> str:
     beyond = {r: f"f.{r} > t.fence * {1 + 2 * ALPHA}" if side == "high" else f"f.{r} < t.fence * {1 - 2 * ALPHA}" for r, (_, _, side) in RULES.items()}
     limits = " AND ".join(f"NOT EXISTS (SELECT 1 FROM t WHERE t.rule = '{r}' AND t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source AND {x})" for r, x in beyond.items())
     return f"""
-WITH s AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w,
-  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l,
-  ' ' || replace(translate(lower(text), chr(9) || chr(10) || chr(13) || chr(12), '    '), ' ', '  ') || ' ' AS spaced FROM documents),
+WITH r AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l
+  FROM documents),
+s AS (SELECT *, ' ' || lower(array_to_string(w, '  ')) || ' ' AS spaced FROM r),
 c AS (SELECT doc_id, lang, source, text, length(text) AS chars, {without(SYMBOLS)} AS symbols, {without(MARKS)} AS marks, {without(BARS)} AS bars,
   length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS capitals, length(array_to_string(w, '')) AS letters,
-  length(regexp_replace(spaced, ' ({"|".join(STOPS)}) ', ' \\1x ', 'g')) - length(spaced) AS stops, len(w) AS words,
+  length(regexp_replace(spaced, ' ({STOPS}) ', ' \\1x ', 'g')) - length(spaced) AS stops, len(w) AS words,
   len(w) - len(list_distinct(w)) AS repeats, len(l) AS lines, len(l) - len(list_distinct(l)) AS again FROM s),
 f AS (SELECT doc_id, lang, source, {values} FROM c),
 v AS ({union}),
