@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -327,13 +328,35 @@ def test_mix_against_slot_by_slot(spark):
     rng = random.Random(2)
     rows = [(i, f"t{i}", rng.choices("abcd", [60, 25, 10, 5])[0]) for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = pfair.mix(docs, {"a": 3, "b": 3, "c": 2, "d": 2}, block_docs=4, resolution=10).toPandas()
+    got = pfair.mix(docs, {"a": 3, "b": 3, "c": 2, "d": 2}, block_docs=4).toPandas()
     counts = Counter(r[2] for r in rows)
     want = brute_mix({"a": 3, "b": 3, "c": 2, "d": 2}, {s: -(-n // 4) for s, n in sorted(counts.items())})
     assert {(r.source, r.block_no): r.slot for r in got.itertuples()} == want
     assert len(got) == 1500 and got.place.is_unique and (got.groupby(["source", "block_no"]).size() <= 4).all()
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.0004, "b": 0.7, "c": 0.2996}, {"a": 2.5, "b": 1 / 3, "c": 7}])
+def test_mix_keeps_to_exact_weights(spark, weights):
+    sizes = {"a": 3000, "b": 9000, "c": 5000}
+    docs = spark.createDataFrame([(i, "t", s) for s, n in sizes.items() for i in range(n)], "doc_id long, text string, source string")
+    got = pfair.mix(docs, weights, block_docs=1).toPandas().sort_values("slot")
+    assert got.slot.tolist() == list(range(17_000))
+    total = sum(map(Fraction, map(str, weights.values())))
+    share = {s: float(Fraction(str(w)) / total) for s, w in weights.items()}
+    # While no source has ended, each is less than a block from its share.
+    placed = {s: (got.source == s).cumsum().to_numpy() for s in sizes}
+    first = min(int(np.argmax(placed[s] == n)) for s, n in sizes.items())
+    assert first > 1000
+    for s in sizes:
+        assert np.abs(placed[s][:first] - share[s] * np.arange(1, first + 1)).max() < 1
+
+
+def test_schedules_of_many_sources():
+    counts = {f"s{i}": 1 + i * i % 997 for i in range(1500)}
+    plan = pfair.phases(pfair.exact_shares(pfair.tempered(counts)), counts)
+    assert sum(len(x) for p in plan for x in p["offsets"].values()) <= sum(counts.values())
+
+
 def test_mix_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(pfair, "BUCKET_ROWS", 10)
     docs = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("only").alias("source"))

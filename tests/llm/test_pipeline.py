@@ -47,7 +47,7 @@ def test_pipeline_against_brute_force(spark):
     counts: dict = {}
     for s in sources.values():
         counts[s] = counts.get(s, 0) + 1
-    shares = pfair.quantise(pfair.tempered(counts))
+    shares = pfair.exact_shares(pfair.tempered(counts))
     left, done, slots, start = {s: -(-n // pfair.BLOCK_DOCS) for s, n in counts.items()}, dict.fromkeys(counts, 0), {}, 0
     while active := [s for s in sorted(shares) if left[s]]:
         plan, t = pfair.period([shares[s] for s in active]), 0
