@@ -3,12 +3,19 @@
 Protected entities are the personal values found by pattern (mail and network
 addresses, telephone and card numbers, secrets); each belongs to a class.  A value
 reveals itself and is generalised to the name of its class.  Further terms are judged by
-corpus co-occurrence over lines: the pointwise mutual information of a term with an
-entity (one value, or a class as a whole), with the usual discount for rare events,
-against the entity's own information -log2 p.  A term that gives away at least the
-share `disclosure` of it, and stands with the entity on at least `min_lines` distinct
-lines, is generalised to "[TERM]" in the lines that mention the entity, or removed if it reveals
-one value, where a general term would still single it out.
+corpus co-occurrence over windows, a line and its two neighbours: the pointwise mutual
+information of a term with an entity (one value, or a class as a whole), with the usual
+discount for rare events, against the entity's own information -log2 p.  A term that
+gives away at least the share `disclosure` of it, and stands with the entity on at least
+`min_lines` distinct lines, is generalised to "[TERM]" in the windows that mention the
+entity, or removed if it reveals one value, where a general term would still single it
+out.  A term that is found with one value in the share `disclosure` of all its windows
+stands for that value, and is removed from every text, whether the value is there or not.
+
+Scale: texts are read for the values, for their terms, for the terms' own counts, and to
+be cleaned; counts are combined within each task, and of the distinct lines of a pair a
+task sends no more than decide whether there are `min_lines`.  Terms go to every task
+up to MODEL_ROWS, which are counted first, and are joined beyond.
 """
 
 from __future__ import annotations
@@ -35,8 +42,8 @@ ENTITIES = {
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in ENTITIES.items()))
 TERM = re.compile(r"[^\W\d_]{2,}")
-#: What every entity holds; a line without is not looked at further.
-HINT = re.compile(r"[0-9@]")
+#: What every entity holds, by its pattern: a digit, an at sign, the beginning of a secret, or 32 hexadecimal letters.
+HINT = re.compile(r"[\d@]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{32}")
 
 DISCLOSURE = 0.6
 MIN_LINES = 3
@@ -65,28 +72,66 @@ def _key(kind: str, value: str) -> str:
     return f"{kind}:{xxhash.xxh3_128_hexdigest(value)}"
 
 
+def windows(items: list[frozenset]) -> list[frozenset]:
+    """Of each line what it and its neighbours hold."""
+    return [x.union(*items[max(0, i - 1) : i], *items[i + 1 : i + 2]) for i, x in enumerate(items)]
+
+
+def names(found: list[tuple[str, str, int, int]]) -> frozenset[str]:
+    return frozenset(x for k, v, *_ in found for x in (k, _key(k, v)))
+
+
 def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES) -> DataFrame:
-    """(entity, term): the terms that disclose each entity; entity is a class or class:hash of value.
+    """(entity, term): the terms that disclose each entity; entity is a class, class:hash of value, or "*" for every text.
 
-    Counts are of lines, over all rows.
+    Counts are of windows, over all rows.
     """
 
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows = {(e, xxhash.xxh3_64_intdigest(line) - (1 << 63)) for t in batch.column("text").to_pylist() if t and HINT.search(t) for line in t.split("\n") for k, v, *_ in entities(line) for e in [_key(k, v)]}
+            cols = list(zip(*rows)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["entity", "line"])
+
+    # A value on fewer lines has no disclosing term.
+    known = text.mapInArrow(values, "entity string, line long").groupBy("entity").agg(F.count_distinct("line").alias("n")).where(F.col("n") >= min_lines).select("entity")
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen: dict[tuple[str, str], list] = {}
+
+        def out():
+            rows = [(e, w, n if not i else 0, h) for (e, w), (n, own) in seen.items() for i, h in enumerate(own)]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["entity", "term", "n", "line"])
+
         for batch in batches:
-            out = []
             for t in batch.column("text").to_pylist():
                 if not t or not HINT.search(t):
                     continue
-                for line in t.split("\n"):
-                    if found := entities(line):
-                        names = {k for k, *_ in found} | {_key(k, v) for k, v, *_ in found}
-                        h = xxhash.xxh3_64_intdigest(line) - (1 << 63)
-                        terms = {w for w, *_ in outside(line, found)}
-                        out += [(e, w, h) for e in names for w in terms | {""}]
-            cols = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["entity", "term", "line"])
+                lines = t.split("\n")
+                found = [entities(line) for line in lines]
+                hashes = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines]
+                held = [names(x) for x in found]
+                terms = [frozenset(w for w, *_ in outside(x, y)) for x, y in zip(lines, found)]
+                for i, near in enumerate(windows(held)):
+                    if not near:
+                        continue
+                    around = range(max(0, i - 1), min(len(lines), i + 2))
+                    beside = terms[i].union(*(terms[j] for j in around), [""])
+                    for e in near:
+                        own = [hashes[j] for j in around if e in held[j]]
+                        for w in beside:
+                            at = seen.setdefault((e, w), [0, []])
+                            at[0] += 1
+                            at[1] += [h for h in own if h not in at[1]][: max(0, min_lines - len(at[1]))]
+                if len(seen) > FLUSH:
+                    yield out()
+        yield out()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -96,16 +141,19 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
 
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                for line in t.split("\n") if t else ():
-                    seen.update(set(TERM.findall(line.lower())))
-                    seen[""] += 1
+                if t:
+                    for near in windows([frozenset(TERM.findall(line)) for line in t.lower().split("\n")]):
+                        seen.update(near)
+                        seen[""] += 1
                 if len(seen) > FLUSH:
                     yield out()
                     seen.clear()
         yield out()
 
-    both = text.mapInArrow(pairs, "entity string, term string, line long")
-    both = checkpoint(both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("line").alias("n_lines")).where((F.col("n_lines") >= min_lines) | (F.col("term") == "")))
+    both = text.mapInArrow(pairs, "entity string, term string, n long, line long")
+    # Classes, and values that stand on enough lines.
+    both = both.join(known.withColumn("known", F.lit(True)), "entity", "left").where(F.col("known") | ~F.col("entity").contains(":"))
+    both = checkpoint(both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("line").alias("n_lines")).where((F.col("n_lines") >= min_lines) | (F.col("term") == "")))
     wanted = both.select("term").distinct()
     lines = checkpoint(text.mapInArrow(counts, "term string, n long").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term")))
     total = lines.where("term = ''").select(F.col("n_term").alias("total"))
@@ -114,27 +162,31 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
     rare = F.least("n_term", "n_entity")
     pmi = F.log2(F.col("n_both") * F.col("total") / (F.col("n_entity") * F.col("n_term"))) * (F.col("n_both") / (F.col("n_both") + 1)) * (rare / (rare + 1))
     # The entity stands with a term it reveals on a fair part of either's lines.
-    return rows.where((pmi >= disclosure * F.log2(F.col("total") / F.col("n_entity"))) & (F.col("total") > F.col("n_entity"))).select("entity", "term")
+    rows = rows.where((pmi >= disclosure * F.log2(F.col("total") / F.col("n_entity"))) & (F.col("total") > F.col("n_entity")))
+    everywhere = F.col("entity").contains(":") & (F.col("n_both") >= disclosure * F.col("n_term"))
+    return rows.select(F.when(everywhere, "*").otherwise(F.col("entity")).alias("entity"), "term").distinct()
 
 
 def clean(text: str | None, model: dict[str, frozenset[str]]) -> tuple[str | None, int, int, int]:
     """(text, entities generalised, terms generalised, terms removed)."""
-    if not text or not HINT.search(text):
+    always = model.get("*", frozenset())
+    if not text or not (always or HINT.search(text)):
         return text, 0, 0, 0
     lines, counts = text.split("\n"), [0, 0, 0]
+    found = [entities(line) for line in lines] if HINT.search(text) else [[]] * len(lines)
+    near = windows([names(x) for x in found]) if any(found) and model else [frozenset()] * len(lines)
     for n, line in enumerate(lines):
-        found = entities(line)
-        if not found:
-            continue
-        general = frozenset().union(*(model.get(k, frozenset()) for k, *_ in found))
-        single = frozenset().union(*(model.get(_key(k, v), frozenset()) for k, v, *_ in found)) if model else frozenset()
-        cuts = [(a, b, f"[{k}]", 0) for k, _, a, b in found]
+        general: frozenset[str] = frozenset().union(*(model.get(e, frozenset()) for e in near[n] if ":" not in e))
+        single = always.union(*(model.get(e, frozenset()) for e in near[n] if ":" in e))
+        cuts = [(a, b, f"[{k}]", 0) for k, _, a, b in found[n]]
         if general or single:
-            for w, a, b in outside(line, found):
-                if w in general:
-                    cuts.append((a, b, "[TERM]", 1))
-                elif w in single:
+            for w, a, b in outside(line, found[n]):
+                if w in single:
                     cuts.append((a, b, "", 2))
+                elif w in general:
+                    cuts.append((a, b, "[TERM]", 1))
+        if not cuts:
+            continue
         out, at = [], 0
         for a, b, put, kind in sorted(cuts):
             out += [line[at:a], put]
@@ -150,14 +202,16 @@ SCHEMA = "doc_id long, text string, entities_generalised int, terms_generalised
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(doc_id, text, entities_generalised, terms_generalised, terms_removed) for each row.
 
-    Lines without a protected entity come back unchanged; null and empty texts too.
-    Repeated rows count each as lines, and once as distinct lines.  Other columns are
+    Lines away from any protected entity come back unchanged, but for terms that stand for
+    one value; null and empty texts too.  Very long texts are cleaned whole, line by line.
+    A term that discloses both a value and a class is removed.  Repeated rows count each as
+    lines, and once as distinct lines; an empty table gives no rows.  Other columns are
     ignored.  The terms themselves are not returned, as they reveal what was removed.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = checkpoint(disclosing(text.select("text"), disclosure, min_lines))
-    names = ["doc_id", "text", "entities_generalised", "terms_generalised", "terms_removed"]
+    columns = ["doc_id", "text", "entities_generalised", "terms_generalised", "terms_removed"]
     types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
     if model.count() <= model_rows:
         held: dict[str, set] = {}
@@ -168,18 +222,20 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = M
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 done = list(zip(*(clean(t, sent.value) for t in batch.column("text").to_pylist()))) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(done, types[1:]))], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(done, types[1:]))], columns)
 
         return text.mapInArrow(run, SCHEMA)
 
     # Too many terms to send everywhere: each text is joined with those of its own entities.
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sorted({x for k, v, *_ in entities(t) for x in (k, _key(k, v))}) if t else [] for t in batch.column("text").to_pylist()]
+            keys = [sorted({x for line in t.split("\n") for x in names(entities(line))} | {f"*{w}" for w in TERM.findall(t.lower())}) if t else [] for t in batch.column("text").to_pylist()]
             yield batch.append_column("entity", pa.array(keys, pa.list_(pa.string())))
 
     asked = text.withColumn("h", F.xxhash64("text")).select("h", "text").mapInArrow(named, "h long, text string, entity array<string>").select("h", F.explode("entity").alias("entity")).distinct()
-    found = asked.join(model, "entity").groupBy("h").agg(F.collect_list(F.struct("entity", "term")).alias("terms"))
+    every = F.col("entity") == "*"
+    keyed = model.select(F.when(every, F.concat(F.lit("*"), "term")).otherwise(F.col("entity")).alias("entity"), "term")
+    found = asked.join(keyed, "entity").groupBy("h").agg(F.collect_list(F.struct("entity", "term")).alias("terms"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +243,10 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = M
             for t, terms in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist()):
                 mine: dict[str, set] = {}
                 for x in terms or ():
-                    mine.setdefault(x["entity"], set()).add(x["term"])
+                    mine.setdefault("*" if x["entity"][0] == "*" else x["entity"], set()).add(x["term"])
                 done.append(clean(t, {k: frozenset(v) for k, v in mine.items()}))
             done = list(zip(*done)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(done, types[1:]))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(done, types[1:]))], columns)
 
     return text.withColumn("h", F.xxhash64("text")).join(found, "h", "left").select("doc_id", "text", "terms").mapInArrow(own, SCHEMA)
 
