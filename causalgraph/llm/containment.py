@@ -9,7 +9,9 @@ threshold into a Jaccard threshold for each item, and with it into the number of
 functions that find a pair with a failure probability of at most `miss`.  Candidates,
 of which there is no cap, are verified on the exact shingles of the whole document.
 An item whose shingles lie scattered over a document, none of whose pieces holds most
-of them, is found with a lower probability.
+of them, is found with a lower probability.  Items of few shingles (TINY) would ask for
+many hash functions; they are found exactly, by an inverted index of their shingles.  An
+item of fewer words than a shingle is one shingle of its own length.
 
 Scale: documents are read once and not shuffled.  Items go to the executors in slabs
 of at most `slab_items`, one pass over the documents each.
@@ -25,23 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, null_safe, small_side, table, words
+from .common import fresh, mix64, small_side, table, words
 
 NGRAM = 5
 THRESHOLD = 0.8
 BLOCK = 64
 MISS = 1e-3
 SLAB_ITEMS = 20_000
+#: Items of at most so many shingles are searched exactly.
+TINY = 8
 SCHEMA = "doc_id long, th long, item_id long, shared long, item_shingles long, containment double"
 
 
-def shingles(tokens: list[str], n: int = NGRAM) -> np.ndarray:
-    """Hashes of the n-grams in order; empty for fewer than n tokens."""
+def token_hashes(tokens: list[str]) -> np.ndarray:
     import xxhash
 
-    if len(tokens) < n:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def shingles(h: np.ndarray, n: int = NGRAM) -> np.ndarray:
+    """Hashes of the n-grams of hashed tokens, in order; empty for fewer than n."""
+    if len(h) < n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         out = mix64(out ^ h[k : len(h) - n + 1 + k])
@@ -56,13 +63,25 @@ def functions_needed(item: int, size: int, threshold: float, miss: float) -> int
 
 
 class Index:
-    """Items by their minima under each hash function, and the search of documents against them."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float, miss: float, block: int):
-        self.items = [(i, np.unique(s)) for i, s in items if len(s)]
-        self.threshold = threshold
+    """Items by their minima under each hash function, or by their shingles if they have few, and the search of documents against them."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float, miss: float, block: int, ngram: int = NGRAM, tiny: int = TINY):
+        """`items` are (item id, hashed tokens)."""
+        cut = [(i, min(ngram, len(h)), h) for i, h in items if len(h)]
+        known = [(i, k, np.unique(shingles(h, k))) for i, k, h in cut]
+        self.ngram, self.threshold = ngram, threshold
+        #: (item id, shingles) of few shingles; by the length of a shingle its hashes in order, and the items that hold each.
+        self.tiny = [(i, s, k) for i, k, s in known if k < ngram or len(s) <= tiny]
+        self.inverted: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        for n in {k for _, _, k in self.tiny}:
+            by: dict[int, list[int]] = {}
+            for at, (_, s, k) in enumerate(self.tiny):
+                for x in s.tolist() if k == n else ():
+                    by.setdefault(x, []).append(at)
+            self.inverted[n] = (np.array(sorted(by), np.uint64), by)
+        self.items = [(i, s) for i, k, s in known if k == ngram and len(s) > tiny]
         #: Every run of shingles as long as the longest item lies within two neighbouring blocks.
-        self.block = max(block, max((len(s) for _, s in items), default=0))
+        self.block = max(block, max((len(h) for _, h in items), default=0))
         sizes = sorted({len(s) for _, s in self.items})
         self.limits = [1 << c for c in range(math.ceil(math.log2(2 * self.block)))] + [2 * self.block]
         #: For each size class, how many functions its least favourable item needs.
@@ -78,8 +97,21 @@ class Index:
             self.holders.append(by)
             self.filters[k, np.fromiter(by, np.uint32, len(by)) & np.uint32(0xFFFF)] = True
 
-    def search(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(document number, item id, shared shingles, item's shingles) for shingles of documents."""
+    def exact(self, d: int, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The items of few shingles in a document of hashed tokens; see search."""
+        counts: dict[int, int] = {}
+        for n, (known, by) in self.inverted.items():
+            own = np.unique(shingles(h, n))
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            for x in own[known[place] == own].tolist():
+                for at in by[x]:
+                    counts[at] = counts.get(at, 0) + 1
+        return [(d, self.tiny[at][0], c, len(self.tiny[at][1])) for at, c in sorted(counts.items()) if c >= self.threshold * len(self.tiny[at][1])]
+
+    def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(document number, item id, shared shingles, item's shingles) for documents of hashed tokens."""
+        few = [x for d, h in enumerate(texts) for x in self.exact(d, h)]
+        docs = [shingles(h, self.ngram) for h in texts]
         classes: dict[int, list[int]] = {}
         for d, s in enumerate(docs):
             if len(s) and self.items:
@@ -107,7 +139,7 @@ class Index:
             shared = int(np.isin(q, docs[d]).sum())
             if shared >= self.threshold * len(q):
                 out.append((d, item, shared, len(q)))
-        return out
+        return few + out
 
 
 def _scramble(x: np.ndarray, salt: np.uint32) -> np.ndarray:
@@ -123,9 +155,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, threshold:
     """(doc_id, th, item_id, shared, item_shingles, containment) of each document and item of which it holds the threshold or more.
 
     `th` is a hash of the document's text.  Containment is the share of the item's
-    distinct word n-grams that the document has.  Texts and items of fewer than n words
-    (and null ones) have none and match nothing.  Repeated rows and repeated items give
-    repeated results; without items the result is empty; other columns are ignored.
+    distinct word n-grams that the document has; an item of fewer than n words is one gram
+    of its own length.  Texts and items without a word (null, empty, marks) match nothing;
+    very long texts are searched whole.  A containment that ties with the threshold counts.
+    Repeated rows and repeated items give repeated results; without items, or rows, the
+    result is empty; other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -138,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, threshold:
                 for a in range(0, batch.num_rows, 256):
                     part = batch.slice(a, 256)
                     docs_, ths = part.column("doc_id"), part.column("th")
-                    for d, item, shared, n in index.value.search([shingles(words(t), ngram) for t in part.column("text").to_pylist()]):
+                    for d, item, shared, n in index.value.search([token_hashes(words(t)) for t in part.column("text").to_pylist()]):
                         out.append((docs_[d].as_py(), ths[d].as_py(), item, shared, n, shared / n))
                 cols = list(zip(*out)) if out else [[]] * 6
                 types = [pa.int64()] * 5 + [pa.float64()]
@@ -151,12 +185,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, threshold:
 
     def flush():
         nonlocal result, slab
-        index = spark.sparkContext.broadcast(Index(slab, threshold, miss, block))
+        index = spark.sparkContext.broadcast(Index(slab, threshold, miss, block, ngram))
         part = rows.mapInArrow(scan(index), SCHEMA)
         result, slab = part if result is None else result.unionByName(part), []
 
     for r in items.toLocalIterator():
-        slab.append((r.item_id, shingles(words(r.text), ngram)))
+        slab.append((r.item_id, token_hashes(words(r.text))))
         if len(slab) == slab_items:
             flush()
     if slab:
@@ -165,10 +199,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, threshold:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no item."""
-    bad = small_side(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
-    left = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    return left.join(bad, null_safe(left, bad, [("__id", "__d"), ("__th", "__t")]), "left_anti").select(docs.columns)
+    """The rows of `docs`, with all their columns, that hold no item; see leaks.
+
+    Null, empty and wordless texts stay; of repeated rows all stay or none; without items
+    all stay, and an empty table stays empty.  Columns may have any names.
+    """
+    d, th = fresh(docs, "d", "th")
+    bad = small_side(leaks(docs, benchmark, **options).select("doc_id", "th").distinct().toDF(d, th))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[d]) & (F.xxhash64(docs["text"]) == bad[th]), "left_anti").select(docs.columns)
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,14 +214,16 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    grams = f"list_distinct(list_transform(range(1, greatest(len(w) - {NGRAM - 1}, 0) + 1), lambda i: array_to_string(w[i:i + {NGRAM - 1}], ' ')))"
+    def grams(k: str) -> str:
+        return f"list_distinct(list_transform(range(1, greatest(len(w) - {k} + 1, 0) + 1), lambda i: array_to_string(w[i:i + {k} - 1], ' ')))"
+
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
 i AS (SELECT row_number() OVER () AS j, item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark),
-ds AS (SELECT r, doc_id, unnest({grams}) AS s FROM d),
-bs AS (SELECT j, item_id, len({grams}) AS n, unnest({grams}) AS s FROM i)
+bs AS (SELECT j, item_id, k, len({grams("k")}) AS n, unnest({grams("k")}) AS s FROM (SELECT *, least({NGRAM}, len(w)) AS k FROM i) WHERE k > 0),
+ds AS (SELECT r, doc_id, k, unnest({grams("k")}) AS s FROM d CROSS JOIN (SELECT DISTINCT k FROM bs))
 SELECT doc_id, item_id, count(*) AS shared, n AS item_shingles, count(*) / n AS containment
-FROM ds JOIN bs USING (s) GROUP BY r, doc_id, j, item_id, n HAVING count(*) >= {THRESHOLD} * n
+FROM ds JOIN bs USING (k, s) GROUP BY r, doc_id, j, item_id, n HAVING count(*) >= {THRESHOLD} * n
 """
 
 

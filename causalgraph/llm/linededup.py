@@ -5,9 +5,10 @@ streaming window keeps the first of each run.  What comes back is not text but o
 run-length coded bitmap for each document: "3,1,4" keeps three lines, drops one and
 keeps four; the code starts with a kept run, "0,2" drops both lines.
 
-Scale: only 16-byte hashes and positions are shuffled; the window finds the range
-partitioning and the order it needs, so that a line that millions share streams
-through one task in constant memory.
+Scale: only 16-byte hashes and positions are shuffled, and of lines that a task meets
+often no more than its own first occurrence competes with other tasks': a line that
+millions of documents share costs a row a task, not a row an occurrence.  Blank lines,
+which are always kept, are not shuffled by hash at all.
 """
 
 from __future__ import annotations

@@ -428,7 +428,7 @@ def test_sanitise_against_brute_force(spark):
 def test_containment_against_all_pairs(spark):
     rng = random.Random(7)
     vocab = [f"v{i}" for i in range(3000)]
-    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([6, 16, 30, 60, 200])))) for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([2, 4, 6, 9, 16, 30, 60, 200])))) for i in range(60)]
     docs = []
     for i in range(120):
         body = rng.choices(vocab, k=rng.choice([10, 300, 4000]))
@@ -437,9 +437,9 @@ def test_containment_against_all_pairs(spark):
             body[at:at] = items[i % 60][1].split()
         docs.append((i, " ".join(body)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
-    own = [(i, grams(t)) for i, t in docs]
-    want = {(i, j) for j, t in items for g in [grams(t)] for i, s in own if g and len(g & s) >= 0.8 * len(g)}
+    grams = lambda t, k: {tuple(w[i : i + k]) for w in [words(t)] for i in range(len(w) - k + 1)}
+    own = [(i, {k: grams(t, k) for k in (2, 4, 5)}) for i, t in docs]
+    want = {(i, j) for j, t in items for k in [min(5, len(words(t)))] for g in [grams(t, k)] for i, s in own if len(g & s[k]) >= 0.8 * len(g)}
     got = {(r.doc_id, r.item_id) for r in containment.leaks(d, b).collect()}
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) >= 40
     slabs = {(r.doc_id, r.item_id) for r in containment.leaks(d, b, slab_items=17).collect()}

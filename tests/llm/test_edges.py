@@ -30,7 +30,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """Extra columns whose names the operators use inside."""
-    names = ["th", "sig", "sid", "root", "key", "shard", "kind", "pos", "first", "slot_", "h1", "n", "keep", "block", "cell", "s", "a", "b", "size", "rule", "bucket", "line", "y", "item_id", "limit", "before", "start"]
+    names = ["th", "sig", "sid", "root", "key", "shard", "kind", "pos", "first", "slot_", "h1", "n", "keep", "block", "cell", "s", "a", "b", "size", "rule", "bucket", "line", "y", "item_id", "limit", "before", "start", "row", "at", "place_", "__id", "__th", "__lines", "__lang", "__s", "__d", "__t", "d", "th_", "t", "chars", "c", "good", "fl", "fs", "runs", "k"]
     return docs.withColumns({c: F.lit("x") for c in names})
 
 
@@ -41,7 +41,7 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def items(spark):
-    return spark.createDataFrame([(1, "beta gamma delta epsilon zeta eta"), (2, None), (3, ""), (4, "too short"), (1, "beta gamma delta epsilon zeta eta")], "item_id long, text string")
+    return spark.createDataFrame([(1, "beta gamma delta epsilon zeta eta"), (2, None), (3, ""), (4, "! ?"), (7, "One  line"), (1, "beta gamma delta epsilon zeta eta")], "item_id long, text string")
 
 
 def operators(labels, items):
@@ -89,8 +89,8 @@ def test_results_of_awkward_rows(docs, labels, items):
     got = {(r.doc_id, r.keep_id, r.group_size, r.distance) for r in ops["simhash"](docs).collect()}
     assert got == {(1, 1, 2, 0), (None, None, 2, 0)}
     assert ops["simhash_keep"](docs).count() == len(ROWS) - 2
-    assert sorted((r.doc_id, r.item_id) for r in ops["leaks"](docs).collect()) == [(1, 1)] * 4
-    assert ops["decontaminate"](docs).count() == len(ROWS) - 2
+    assert sorted((r.doc_id, r.item_id) for r in ops["leaks"](docs).collect()) == [(1, 1)] * 4 + [(6, 7)]
+    assert ops["decontaminate"](docs).count() == len(ROWS) - 3
     maps = {(r.doc_id, r.n_lines): (r.n_kept, r.keep) for r in ops["bitmaps"](docs).collect()}
     assert maps[6, 3] == (2, "1,1,1") and maps[5, 4] == (4, "4") and maps[3, 1] == (1, "1")
     lines = {(r.doc_id, r.text) for r in ops["lines"](docs).collect()}
