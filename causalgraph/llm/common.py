@@ -49,12 +49,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
-
-
-def null_safe(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]):
-    """A join condition under which nulls are equal."""
-    cond = None
-    for a, b in on:
-        c = left[a].eqNullSafe(right[b])
-        cond = c if cond is None else cond & c
-    return cond

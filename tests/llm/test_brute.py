@@ -512,6 +512,18 @@ def test_bitmaps_give_the_kept_lines(spark):
     assert changed and all(got[i][1] == len(want[i]) for i in changed)
 
 
+def test_bitmaps_of_long_and_hot_texts(spark):
+    long = "\n".join(f"l{i % 7}" if i % 2 else f"own {i}" for i in range(20_001))
+    docs = spark.createDataFrame([(1, long), (2, "l1\n\nx\nl3")] + [(i, f"hot\nline {i}\nhot") for i in range(3, 400)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicate_lines(docs).collect()}
+    seen = set()
+    for r in docs.orderBy("doc_id").collect():
+        kept = [x for x in r.text.split("\n") if not x or not (x in seen or seen.add(x))]
+        assert got[r.doc_id] == "\n".join(kept)
+    pre = linededup._lines(docs).coalesce(1).mapInArrow(linededup._least, "h1 long, h2 long, doc_id long, th long, pos int")
+    assert pre.count() == pre.select("h1", "h2").distinct().count()
+
+
 def test_lines_are_ranged_once(spark, capsys):
     linededup.first_occurrences(load(spark, "documents")).explain()
     plan = capsys.readouterr().out
