@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shared_folder, small_side, table
 
-#: Of one suffix array; about 60 bytes each while it is built, 28 mapped.
-SHARD_TOKENS = 4_000_000
+#: Of one suffix array; about 70 bytes each while it is built, 36 mapped.
+SHARD_TOKENS = 8_000_000
 #: Tokens of documents that are matched at once.
 BATCH_TOKENS = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -164,13 +164,13 @@ class Shard:
     """A suffix array over the tokens of some documents, each followed by a mark that no text holds."""
 
     #: Its arrays: distinct token hashes, tokens, the suffixes' places, their first tokens
-    #: packed, their documents, the steps (of 255 at most) to the nearest suffixes before
+    #: packed, the next ones, their documents, the steps (of 255 at most) to the nearest suffixes before
     #: and after with another document, prefix hashes, doc_ids, the documents' lengths.
-    NAMES = ("vocabulary", "tokens", "sa", "key", "doc", "before", "after", "hashes", "ids", "lengths")
+    NAMES = ("vocabulary", "tokens", "sa", "key", "key2", "doc", "before", "after", "hashes", "ids", "lengths")
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
-        self.vocabulary, self.tokens, self.sa, self.key, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths = arrays
-        self.bits = int(len(self.vocabulary) + 1).bit_length()
+        self.vocabulary, self.tokens, self.sa, self.key, self.key2, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths = arrays
+        self.bits = int(len(self.vocabulary) + 2).bit_length()
         self.width = 62 // self.bits
 
     @classmethod
@@ -181,19 +181,20 @@ class Shard:
         flat = np.concatenate([np.append(t, np.uint64(0)) for t in texts])
         mark = np.cumsum(lengths + 1) - 1
         vocabulary, token = np.unique(flat, return_inverse=True)
-        # The mark sorts behind all tokens.
-        token = token.astype(np.int64)
+        # Codes from 1 on; 0 stands for tokens that the shard doesn't know, the mark sorts behind all.
+        token = token.astype(np.int64) + 1
         if vocabulary[0] == 0:
             vocabulary, token = vocabulary[1:], token - 1
-        token[mark] = len(vocabulary)
+        token[mark] = len(vocabulary) + 1
         flat[mark] = mix64(np.full(1, 77, np.uint64))[0]
-        bits = int(len(vocabulary) + 1).bit_length()
+        bits = int(len(vocabulary) + 2).bit_length()
         width = 62 // bits
         key = np.zeros(len(token), np.int64)
-        padded = np.append(token, np.full(width, len(vocabulary)))
+        padded = np.append(token, np.full(width, len(vocabulary) + 1))
         for k in range(width):
             key = key << bits | padded[k : k + len(token)]
         sa = suffix_array(key, width)
+        key2 = np.append(key[width:], np.zeros(min(width, len(key)), np.int64))[sa]
         doc = np.repeat(doc_of, lengths + 1)[sa].astype(np.int32)
         at = np.arange(len(sa))
         change = np.append(True, doc[1:] != doc[:-1])
@@ -202,7 +203,7 @@ class Shard:
         hashes = prefix_hashes(flat, powers(len(flat)))
         sums = np.bincount(doc_of, weights=lengths, minlength=len(names)).astype(np.int64)
         near = [np.minimum(x, 255).astype(np.uint8) for x in (at - start + 1, end - at)]
-        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], doc, *near, hashes, names, sums])
+        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], key2, doc, *near, hashes, names, sums])
 
     def save(self, folder: str) -> None:
         files, path = fs.FileSystem.from_uri(folder)
@@ -249,33 +250,65 @@ class Shard:
             at = at[fail[at] - out[at] > 1]
         return out
 
+    def pack(self, token: np.ndarray, a: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`width` tokens from a on, as far as they are known, zeros behind, where only order counts; and whether all are known."""
+        key, whole = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for k in range(self.width):
+            t = np.where(a + k < end, token[np.minimum(a + k, len(token) - 1)], 0)
+            whole &= t > 0
+            key = key << self.bits | np.where(whole, t, 0)
+        return key, whole
+
+    def agree(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The number of first tokens in which packed tokens agree."""
+        x = x ^ y
+        return sum(((x >> self.bits * (self.width - k)) == 0).astype(np.int64) for k in range(1, self.width + 1))
+
+    def bound(self, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, right: bool) -> np.ndarray:
+        """Where each key goes among the second keys from lo to hi."""
+        lo, hi = lo.copy(), hi.copy()
+        at = np.flatnonzero(lo < hi)
+        while len(at):
+            mid = (lo[at] + hi[at]) // 2
+            its = self.key2[mid]
+            less = its <= key[at] if right else its < key[at]
+            lo[at] = np.where(less, mid + 1, lo[at])
+            hi[at] = np.where(less, hi[at], mid)
+            at = at[lo[at] < hi[at]]
+        return lo
+
     def longest(self, tokens: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
         """For each position of documents that end at `end`, the longest run in another document than `own` (index, or -1)."""
         n, size, v = len(tokens), len(self.sa), len(self.vocabulary)
         if not n or not v:
             return np.zeros(n, np.int64)
         place = np.minimum(np.searchsorted(self.vocabulary, distinct := np.unique(tokens)), v - 1)
-        token = np.where(self.vocabulary[place] == distinct, place, -1)[np.searchsorted(distinct, tokens)]
-        a = np.flatnonzero(token >= 0)
-        # Packed first tokens, as far as they are known; zeros behind, where only order counts.
-        key, whole = np.zeros(len(a), np.int64), np.ones(len(a), bool)
-        for k in range(self.width):
-            there = a + k < end[a]
-            t = np.where(there, token[np.minimum(a + k, n - 1)], -1)
-            whole &= t >= 0
-            key = key << self.bits | np.where(whole, t, 0)
+        token = np.where(self.vocabulary[place] == distinct, place + 1, 0)[np.searchsorted(distinct, tokens)]
+        a = np.flatnonzero(token > 0)
+        key, whole = self.pack(token, a, end[a])
         # In the order of the shard, so that neighbours look at the same places.
         order = np.argsort(key)
         a, key, whole = a[order], key[order], whole[order]
-        some, back = np.unique(key, return_inverse=True)
+        new = np.append(True, key[1:] != key[:-1])
+        some, back = key[new], np.cumsum(new) - 1
         lo = np.searchsorted(self.key, some, "left")[back]
         hi = np.where(whole, np.searchsorted(self.key, some, "right")[back], lo)
         most = end[a] - a
+        # The same among equals by their next tokens.
+        key2, whole = self.pack(token, a + self.width, end[a])
+        at = np.flatnonzero(hi > lo)
+        left = self.bound(lo[at], hi[at], key2[at], False)
+        right = left.copy()
+        both = whole[at]
+        right[both] = self.bound(left[both], hi[at[both]], key2[at[both]], True)
+        lo[at], hi[at] = left, right
+        known = np.full(len(a), self.width)
+        known[at] = 2 * self.width
         at = np.flatnonzero(lo < hi)
         while len(at):
             mid = (lo[at] + hi[at]) // 2
             b = self.sa[mid].astype(np.int64)
-            same = self.common(text, power, a[at] + self.width, b + self.width, most[at] - self.width) + self.width
+            same = self.common(text, power, a[at] + known[at], b + known[at], most[at] - known[at]) + known[at]
             # The text's suffix is less where it ends; else the next tokens decide.
             ended = same == most[at]
             mine = token[np.minimum(a[at] + same, n - 1)]
@@ -291,7 +324,13 @@ class Shard:
                 near[at] += sign * step[near[at]].astype(np.int64)
                 at = at[(near[at] >= 0) & (near[at] < size)]
             at = np.flatnonzero((near >= 0) & (near < size))
-            out[a[at]] = np.maximum(out[a[at]], self.common(text, power, a[at], self.sa[near[at]].astype(np.int64), most[at]))
+            same = self.agree(key[at], self.key[near[at]])
+            more = np.flatnonzero(same == self.width)
+            same[more] += self.agree(key2[at[more]], self.key2[near[at[more]]])
+            more = np.flatnonzero(same == 2 * self.width)
+            far = at[more]
+            same[more] += self.common(text, power, a[far] + 2 * self.width, self.sa[near[far]].astype(np.int64) + 2 * self.width, most[far] - 2 * self.width)
+            out[a[at]] = np.maximum(out[a[at]], same)
         return out
 
 
