@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shared_folder, small_side, table
 
-#: Of one suffix array; about 70 bytes each while it is built, 36 mapped.
-SHARD_TOKENS = 8_000_000
+#: Of one suffix array; about 60 bytes each while it is built, 44 mapped.
+SHARD_TOKENS = 7_000_000
 #: Tokens of documents that are matched at once.
 BATCH_TOKENS = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -107,14 +107,23 @@ def own_phrases(tokens) -> int:
 
 
 BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Lengths of runs for which a shard has a filter, and the bits of each.
+LEVELS = np.array([1, 2, 3, 4, 6])
+FILTER_BITS = 26
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, BASE, np.uint64)
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+def places(sums: np.ndarray, a: np.ndarray, n: np.ndarray | int, inverse: np.ndarray) -> np.ndarray:
+    """Where the runs of n tokens from a on lie in a filter."""
+    return mix64((sums[a + n] - sums[a]) * inverse[a]) >> np.uint64(64 - FILTER_BITS)
+
+
 def prefix_hashes(hashes: np.ndarray, power: np.ndarray) -> np.ndarray:
     """h with h[b] - h[a] the polynomial hash of tokens a to b, times the power of a; modulo 2^64."""
     return np.append(np.uint64(0), np.add.accumulate(hashes * power[: len(hashes)]))
@@ -141,15 +150,18 @@ def suffix_array(key: np.ndarray, k: int) -> np.ndarray:
     """By prefix doubling, from keys that order the first k tokens of each suffix."""
     n = len(key)
     sa = np.argsort(key, kind="stable")
-    first = np.append(True, key[sa[1:]] != key[sa[:-1]])
-    rank = np.empty(n, np.int64)
-    at = np.arange(n)
-    rank[sa] = np.maximum.accumulate(np.where(first, at, 0))
+    ordered = key[sa]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    del ordered
+    rank = np.empty(n, np.int32)
+    at = np.arange(n, dtype=np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(first, at, np.int32(0)))
     left = at[~(first & np.append(first[1:], True))]
+    del at, first
     while len(left):
         own = sa[left]
         later = np.where(own + k < n, rank[np.minimum(own + k, n - 1)], n + own)  # behind the end all is mark
-        both = rank[own] << 32 | later
+        both = rank[own].astype(np.int64) << 32 | later
         order = np.argsort(both, kind="stable")
         own, both = own[order], both[order]
         sa[left] = own
@@ -165,11 +177,12 @@ class Shard:
 
     #: Its arrays: distinct token hashes, tokens, the suffixes' places, their first tokens
     #: packed, the next ones, their documents, the steps (of 255 at most) to the nearest suffixes before
-    #: and after with another document, prefix hashes, doc_ids, the documents' lengths.
-    NAMES = ("vocabulary", "tokens", "sa", "key", "key2", "doc", "before", "after", "hashes", "ids", "lengths")
+    #: and after with another document, prefix hashes, doc_ids, the documents' lengths, and
+    #: for each of LEVELS a bit map of its runs.
+    NAMES = ("vocabulary", "tokens", "sa", "key", "key2", "doc", "before", "after", "hashes", "ids", "lengths", "filters")
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
-        self.vocabulary, self.tokens, self.sa, self.key, self.key2, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths = arrays
+        self.vocabulary, self.tokens, self.sa, self.key, self.key2, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths, self.filters = arrays
         self.bits = int(len(self.vocabulary) + 2).bit_length()
         self.width = 62 // self.bits
 
@@ -189,8 +202,9 @@ class Shard:
         flat[mark] = mix64(np.full(1, 77, np.uint64))[0]
         bits = int(len(vocabulary) + 2).bit_length()
         width = 62 // bits
+        token = token.astype(np.int32)
         key = np.zeros(len(token), np.int64)
-        padded = np.append(token, np.full(width, len(vocabulary) + 1))
+        padded = np.append(token, np.full(width, len(vocabulary) + 1, np.int32))
         for k in range(width):
             key = key << bits | padded[k : k + len(token)]
         sa = suffix_array(key, width)
@@ -203,7 +217,14 @@ class Shard:
         hashes = prefix_hashes(flat, powers(len(flat)))
         sums = np.bincount(doc_of, weights=lengths, minlength=len(names)).astype(np.int64)
         near = [np.minimum(x, 255).astype(np.uint8) for x in (at - start + 1, end - at)]
-        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], key2, doc, *near, hashes, names, sums])
+        del start, end, change
+        inverse = powers(len(flat), INVERSE)
+        filters = np.zeros((len(LEVELS), 1 << (FILTER_BITS - 3)), np.uint8)
+        for level, n in enumerate(LEVELS.tolist()):
+            seen = np.zeros(1 << FILTER_BITS, bool)
+            seen[places(hashes, at[: max(0, len(flat) - n + 1)], n, inverse)] = True
+            filters[level] = np.packbits(seen, bitorder="little")
+        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], key2, doc, *near, hashes, names, sums, filters])
 
     def save(self, folder: str) -> None:
         files, path = fs.FileSystem.from_uri(folder)
@@ -277,14 +298,20 @@ class Shard:
             at = at[lo[at] < hi[at]]
         return lo
 
-    def longest(self, tokens: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """For each position of documents that end at `end`, the longest run in another document than `own` (index, or -1)."""
+    def longest(self, tokens: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray, best: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """For each position of documents that end at `end`, the longest run in another document than `own` (index, or -1), if it is longer than `best`."""
         n, size, v = len(tokens), len(self.sa), len(self.vocabulary)
         if not n or not v:
-            return np.zeros(n, np.int64)
+            return best
         place = np.minimum(np.searchsorted(self.vocabulary, distinct := np.unique(tokens)), v - 1)
         token = np.where(self.vocabulary[place] == distinct, place + 1, 0)[np.searchsorted(distinct, tokens)]
-        a = np.flatnonzero(token > 0)
+        a = np.flatnonzero((token > 0) & (end - np.arange(n) > best))
+        # A longer run than the best is here only if its beginning is.
+        level = np.searchsorted(LEVELS, best[a] + 1, "right") - 1
+        place = places(text, a, LEVELS[level], inverse)
+        a = a[(self.filters[level, place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        if not len(a):
+            return best
         key, whole = self.pack(token, a, end[a])
         # In the order of the shard, so that neighbours look at the same places.
         order = np.argsort(key)
@@ -317,7 +344,7 @@ class Shard:
             hi[at] = np.where(less, mid, hi[at])
             lo[at] = np.where(less, lo[at], mid + 1)
             at = at[lo[at] < hi[at]]
-        out = np.zeros(n, np.int64)
+        out = best.copy()
         for near, step, sign in ((lo - 1, self.before, -1), (lo, self.after, 1)):
             at = np.flatnonzero((near >= 0) & (near < size))
             while len(at := at[self.doc[near[at]] == own[a[at]]]):
@@ -396,10 +423,10 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
         loaded: dict[str, list[Shard]] = {}
         held: dict[str, list[tuple]] = {}
         sizes: dict[str, int] = {}
-        power = powers(0)
+        power = inverse = powers(0)
 
         def done(key: str) -> pa.RecordBatch:
-            nonlocal power
+            nonlocal power, inverse
             docs, sizes[key] = held.pop(key), 0
             if key not in loaded:
                 loaded[key] = [Shard.load(p) for p in paths.get(key, ())]
@@ -408,13 +435,13 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
             tokens = np.concatenate([d[2] for d in docs])
             end = np.repeat(ends, lengths)
             if (most := max([len(tokens), *(len(s.sa) for s in loaded[key])]) + 1) > len(power):
-                power = powers(most)
+                power, inverse = powers(most), powers(most, INVERSE)
             hashes = prefix_hashes(tokens, power)
             best, rest = np.zeros(len(tokens), np.int64), np.full(len(docs), totals.get(key, 0))
             for shard in loaded[key]:
                 own = shard.index([d[0] for d in docs])
                 rest -= np.where(own >= 0, shard.lengths[own], 0)
-                best = np.maximum(best, shard.longest(tokens, hashes, power, end, np.repeat(own, lengths)))
+                best = shard.longest(tokens, hashes, power, end, np.repeat(own, lengths), best, inverse)
             steps = np.maximum(best, 1).tolist()
             out: dict[str, list] = {k: [] for k in ("doc_id", "lang", "n_tokens", "reference_tokens", "cross_phrases", "self_phrases", "cross_entropy", "relative_entropy")}
             for (doc, lang, own_tokens, phrases), e, n in zip(docs, ends.tolist(), rest.tolist()):
