@@ -133,7 +133,7 @@ def module_connectivity(g: CausalGraph) -> DataFrame:
     mods = g.nodes.select("module_id").distinct()
     full = mods.toDF("source_module").crossJoin(mods.toDF("target_module"))
     rows = full.join(found, (F.col("source_module") == F.col("sm")) & (F.col("target_module") == F.col("tm")), "left")
-    return rows.select("source_module", "target_module", F.coalesce("n", F.lit(0)).alias("edges"), F.when(F.col("n") > 0, F.format_string("%.2f", F.col("a"))).otherwise("0").alias("avg_confidence")).orderBy("source_module", "target_module")
+    return rows.select("source_module", "target_module", F.coalesce("n", F.lit(0)).alias("edges"), F.when(F.col("n") > 0, F.format_string("%.2f", F.round("a", 9))).otherwise("0").alias("avg_confidence")).orderBy("source_module", "target_module")
 
 
 def modularity(g: CausalGraph, communities: DataFrame, standard: bool = False) -> DataFrame:

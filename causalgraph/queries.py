@@ -27,7 +27,8 @@ from .streaming import updates as U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-START, END = "N00", "N09"
+#: Joined by several paths at every scale of the tables.
+START, END = "N18", "N10"
 TARGETS = ["N03", "N08", "N99"]
 
 
@@ -106,7 +107,7 @@ on_trade("f08_high_confidence", "SELECT id FROM edges WHERE conf_rank <= 3")(lam
 on_trade("f08_cross_module", "SELECT e.id, a.module_id AS source_module, b.module_id AS target_module FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id WHERE a.module_id <> b.module_id")(lambda g: B.cross_module(g).select("id", "source_module", "target_module"))
 on_trade("f08_therapeutic_targets", "SELECT id FROM nodes WHERE role = 'THERAPEUTIC_TARGET'")(lambda g: B.with_role(g, "THERAPEUTIC_TARGET").select("id"))
 on_trade("f08_hubs", "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) AS x GROUP BY id HAVING count(*) >= 5")(B.hubs)
-on_trade("f09_search", "SELECT id, label FROM nodes WHERE contains(lower(label), 'an') OR contains(lower(id), 'an') ORDER BY ord LIMIT 20")(lambda g: B.search(g, "AN"))
+on_trade("f09_search", "SELECT id, label FROM nodes WHERE contains(lower(label), 'nation_1') OR contains(lower(id), 'nation_1') ORDER BY ord LIMIT 20")(lambda g: B.search(g, "NATION_1"))
 on_trade("f10_focus", f"SELECT DISTINCT n.module_id, CASE WHEN n.module_id = (SELECT module_id FROM nodes WHERE id = '{START}') OR n.module_id IN (SELECT module_id FROM nodes WHERE id IN (SELECT target FROM edges WHERE source = '{START}' UNION SELECT source FROM edges WHERE target = '{START}')) THEN 'on' ELSE 'off' END AS state FROM nodes n")(lambda g: B.focus(g, START))
 on_trade("f11_toggle", "SELECT DISTINCT module_id, CASE WHEN module_id = 'R1' THEN 'partial' ELSE 'on' END AS state FROM nodes")(lambda g: B.toggle(B.set_all(g, "on"), "R1"))
 on_trade("f12_back_edges", "SELECT e.id FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id WHERE a.ord % 5 >= b.ord % 5")(lambda g: B.back_edges(g.edges, g.nodes.select("id", (F.col("ord") % 5).alias("layer"))).select("id"))
@@ -230,11 +231,7 @@ p{i} AS (SELECT id, 0.15 / (SELECT count(*) FROM {nodes}) + 0.85 * (coalesce(f,
 
 on_trade("a06_pagerank", ", " + _pagerank_sql("nodes", "edges", 20), stored=True)(lambda g: A.pagerank(g.nodes, g.pairs(), max_iter=20, tol=None).select("node_id", F.round("score", 9).alias("score")))
 register("a06_pagerank_supply", f"WITH nn AS ({G.SUPPLY_NODES}), ee AS ({G.SUPPLY_EDGES}), " + _pagerank_sql("nn", "ee", 5))(lambda spark, sf: (lambda n, e: A.pagerank(n, e.toDF("src", "dst"), max_iter=5, tol=None).select("node_id", F.round("score", 9).alias("score")))(*G.supply(spark, sf)))
-on_trade("a07_connectivity", ", m AS (SELECT DISTINCT module_id FROM nodes), x AS (SELECT a.module_id AS s, b.module_id AS t, count(*) AS n, avg(strength) AS w FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id GROUP BY 1, 2) SELECT a.module_id AS source_module, b.module_id AS target_module, coalesce(n, 0) AS edges, CASE WHEN n > 0 THEN round(w, 6) ELSE 0 END AS avg_strength FROM m a CROSS JOIN m b LEFT JOIN x ON a.module_id = s AND b.module_id = t")(
-    lambda g: (lambda m, e: m.toDF("source_module").crossJoin(m.toDF("target_module")).join(e, (F.col("source_module") == F.col("sm")) & (F.col("target_module") == F.col("tm")), "left").select("source_module", "target_module", F.coalesce("n", F.lit(0)).alias("edges"), F.coalesce(F.round("a", 6), F.lit(0.0)).alias("avg_strength")))(
-        g.nodes.select("module_id").distinct(), g.edges.join(g.nodes.select(F.col("id").alias("x"), F.col("module_id").alias("sm")), F.col("source") == F.col("x")).join(g.nodes.select(F.col("id").alias("y"), F.col("module_id").alias("tm")), F.col("target") == F.col("y")).groupBy("sm", "tm").agg(F.count(F.lit(1)).alias("n"), F.avg("strength").alias("a")))
-)
-on_trade("a07_connectivity_text")(A.module_connectivity)
+on_trade("a07_connectivity", ", m AS (SELECT DISTINCT module_id FROM nodes), x AS (SELECT a.module_id AS s, b.module_id AS t, count(*) AS n, avg(strength) AS w FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id GROUP BY 1, 2) SELECT a.module_id AS source_module, b.module_id AS target_module, coalesce(n, 0) AS edges, CASE WHEN n > 0 THEN CAST(CAST(CAST(round(w, 9) AS DECIMAL(18, 9)) AS DECIMAL(18, 2)) AS VARCHAR) ELSE '0' END AS avg_confidence FROM m a CROSS JOIN m b LEFT JOIN x ON a.module_id = s AND b.module_id = t")(A.module_connectivity)
 on_trade("a08_modularity", ", e AS (SELECT x.*, a.module_id = b.module_id AS own FROM edges x JOIN nodes a ON x.source = a.id JOIN nodes b ON x.target = b.id), ko AS (SELECT source, count(*) AS k FROM edges GROUP BY 1), ki AS (SELECT target, count(*) AS k FROM edges GROUP BY 1) SELECT round(sum((1 - ko.k * ki.k / (SELECT count(*) FROM edges)) / (SELECT count(*) FROM edges)), 9) AS modularity FROM e JOIN ko ON e.source = ko.source JOIN ki ON e.target = ki.target WHERE own")(
     lambda g: A.modularity(g, g.nodes.select(F.col("id").alias("node_id"), F.col("module_id").alias("community"))).select(F.round("modularity", 9).alias("modularity"))
 )
@@ -363,7 +360,22 @@ on_trade("q03_focus", "SELECT id, source IN ('N00', 'N01', 'N02', 'N03') AND tar
 
 # ---- audits and citations
 
-on_trade("d01_audit", "SELECT 'orphan' AS issue, id FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")(D.audit)
+@on_trade("d01_audit", """, an AS (SELECT id, module_id FROM nodes WHERE ord <> 3 UNION ALL SELECT id, module_id FROM nodes WHERE ord % 7 = 0),
+ae AS (SELECT id, CASE WHEN ord % 11 = 0 THEN 'X' ELSE source END AS source, CASE WHEN ord % 13 = 0 THEN source WHEN ord % 5 = 0 THEN 'Y' ELSE target END AS target FROM edges UNION ALL SELECT id, source, target FROM edges WHERE ord % 3 = 0)
+SELECT 'duplicate_node' AS issue, id FROM an GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_edge', id FROM ae GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'unknown_module', id FROM an WHERE module_id = 'R4' UNION ALL SELECT 'broken_source', id FROM ae WHERE source NOT IN (SELECT id FROM an)
+UNION ALL SELECT 'broken_target', id FROM ae WHERE target NOT IN (SELECT id FROM an) UNION ALL SELECT 'orphan', id FROM an WHERE id NOT IN (SELECT source FROM ae UNION SELECT target FROM ae)
+UNION ALL SELECT 'self_loop', id FROM ae WHERE source = target""")
+def _audit(g):
+    """The trade graph with seeded defects."""
+    nodes = g.nodes.where("ord <> 3").unionByName(g.nodes.where("ord % 7 = 0"))
+    source = F.when(F.col("ord") % 11 == 0, "X").otherwise(F.col("source"))
+    target = F.when(F.col("ord") % 13 == 0, F.col("source")).when(F.col("ord") % 5 == 0, "Y").otherwise(F.col("target"))
+    edges = g.edges.select(*[{"source": source, "target": target}.get(c, F.col(c)).alias(c) for c in g.edges.columns]).unionByName(g.edges.where("ord % 3 = 0"))
+    modules = g.nodes.select(F.col("module_id").alias("id")).where("id <> 'R4'").distinct()
+    return D.audit(G.CausalGraph(nodes, edges, modules, checked_edges=edges))
+
+
 on_trade("d02_without_incoming", "SELECT id, module_id FROM nodes WHERE id NOT IN (SELECT target FROM edges)")(D.without_incoming)
 on_trade("d03_citations", "SELECT count(*) AS edges, count(*) FILTER (pmid <> '') AS with_pmid, count(first_author) AS with_first_author, count(year) AS with_year, count(mechanism_description) AS with_mechanism_description, count(method_type) AS with_method_type, count(*) FILTER (pmid <> '' AND first_author IS NOT NULL AND year IS NOT NULL AND method_type IS NOT NULL) AS fully_cited FROM edges")(lambda g: D.citation_coverage(g.edges))
 on_trade("d03_missing_by_level", "SELECT causal_confidence, count(*) AS edges, count(*) FILTER (coalesce(pmid, '') = '') AS without_pmid FROM edges GROUP BY 1")(lambda g: D.missing_by_level(g.edges))
@@ -389,7 +401,10 @@ on_trade("d07_enrich", f", {_PUB} SELECT e.id, coalesce(e.first_author, pub.firs
 def _repair(spark, sf):
     b = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("k"), "text")
     wanted = b.select(F.col("k").alias("id"), F.col("text").alias("title"), F.concat(F.lit("Author"), F.col("k")).alias("author"), (1990 + F.col("k") % 9).alias("year"))
-    cands = wanted.select("id").join(b, F.abs(F.col("id") - F.col("k")) <= 2).select("id", F.col("k").alias("ord"), F.col("k").cast("string").alias("pmid"), F.col("text").alias("title"), F.concat(F.lit("Author"), F.col("k")).alias("author"), (1990 + F.col("k") % 9).alias("year"))
+    # All items that share a word with the wanted title are its candidates.
+    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+"))).alias("w")
+    pairs = b.select(F.col("k").alias("id"), word).join(b.select("k", word), "w").where("w <> ''").select("id", "k").distinct()
+    cands = pairs.join(b, "k").select("id", F.col("k").alias("ord"), F.col("k").cast("string").alias("pmid"), F.col("text").alias("title"), F.concat(F.lit("Author"), F.col("k")).alias("author"), (1990 + F.col("k") % 9).alias("year"))
     return D.repair_candidates(wanted, cands)
 
 
@@ -398,8 +413,8 @@ register("d09_metrics", "WITH o AS (SELECT o_orderpriority AS p, o_totalprice AS
 )
 on_trade("d10_verdicts", "SELECT CASE WHEN ord % 3 = 0 THEN 'pending' WHEN ord % 3 = 1 THEN 'supported' ELSE 'refuted' END AS verdict, count(*) AS n FROM edges GROUP BY 1")(lambda g: D.verdict_tally(g.edges.select("id"), g.edges.where("ord % 3 <> 0").select("id", F.when(F.col("ord") % 3 == 1, "supported").otherwise("refuted").alias("verdict"))))
 on_trade("d11_patch_pmids", "SELECT id, CASE WHEN ord % 2 = 0 AND pmid <> '' THEN '1' ELSE pmid END AS pmid FROM edges")(lambda g: D.patch_pmids(g.edges, g.edges.where("pmid <> ''").select("id", F.when(F.col("ord") % 2 == 0, F.col("pmid")).otherwise("other").alias("old_pmid"), F.lit("1").alias("new_pmid"))).select("id", "pmid"))
-register("d12_sentences", "WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 200)), '[ \\t\\n\\r]+'), lambda w: length(w) > 4)) AS ws, string_split(text, '. ') AS ss FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, ws, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM t), c AS (SELECT doc_id, k, len(list_filter(ws, lambda w: contains(lower(s), w))) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS rn FROM c) SELECT doc_id AS id, CAST(score AS INT) AS score FROM r WHERE rn = 1")(
-    lambda spark, sf: D.supporting_sentence(spark.read.parquet(f"{sf}/{_DOCS}").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("claim"), F.col("text").alias("abstract"))).select("id", "score")
+register("d12_sentences", "WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda w: length(w) > 4)) AS ws, string_split(text, '. ') AS ss FROM benchmark), s AS (SELECT item_id, ws, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM t), c AS (SELECT item_id, k, len(list_filter(ws, lambda w: contains(lower(s), w))) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rn FROM c) SELECT item_id AS id, CAST(score AS INT) AS score FROM r WHERE rn = 1")(
+    lambda spark, sf: D.supporting_sentence(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("claim"), F.col("text").alias("abstract"))).select("id", "score")
 )
 on_trade("d13_cache", "SELECT id FROM edges WHERE ord % 4 <> 0")(lambda g: (lambda r: D.split_cached(r, r.where("ord % 4 = 0").select(D.cache_key(F.col("claims"), F.col("abstract")).alias("key"), F.lit("supported").alias("verdict")))[1].select("id"))(g.edges.select("id", "ord", F.array("id", "relation").alias("claims"), F.col("id").alias("abstract"))))
 
@@ -484,7 +499,25 @@ register("t09_dose_effect", "SELECT s_suppkey AS id, v AS variant, CAST(m AS DOU
 
 # ---- sources and sinks
 
-register("s05_s11_page_links", "SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) AS x GROUP BY 1, 2")(lambda spark, sf: SRC.page_links(spark.read.parquet(f"{sf}/pages.parquet")))
+register("page_links", "SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) AS x GROUP BY 1, 2")(lambda spark, sf: SRC.page_links(spark.read.parquet(f"{sf}/pages.parquet")))
+@register("s11_abstracts", "SELECT CAST(item_id AS VARCHAR) AS pmid, CASE WHEN item_id % 4 <> 1 THEN trim(text) || CASE WHEN item_id % 4 = 2 THEN ' and more' ELSE '' END END AS abstract FROM benchmark")
+def _abstracts(spark, sf):
+    """Items as articles of two to a response, some with a second part, some unanswered."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    more = F.when(F.col("item_id") % 4 == 2, "<AbstractText Label='R'><i>and</i> more</AbstractText>").otherwise("")
+    article = F.concat(F.lit("<PubmedArticle><PMID Version='1'>"), F.col("item_id").cast("string"), F.lit("</PMID><Abstract><AbstractText>"), "text", F.lit("</AbstractText>"), more, F.lit("</Abstract></PubmedArticle>"))
+    answers = items.where("item_id % 4 <> 1").groupBy(F.floor(F.col("item_id") / 2)).agg(F.array_join(F.collect_list(article), "\n").alias("value"))
+    return SRC.abstracts(answers, items.select(F.col("item_id").cast("string").alias("pmid")))
+
+
+@register("s12_view_states", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN '1.' || CAST(o_orderkey % 3 AS VARCHAR) END AS version, CASE WHEN o_orderkey % 5 > 0 AND o_orderstatus = 'F' THEN 'strong' WHEN o_orderkey % 5 > 0 AND o_orderstatus = 'O' THEN 'all' END AS evidence_filter, CASE WHEN o_orderkey % 5 > 0 THEN 'N' || CAST(o_custkey % 25 AS VARCHAR) || ',' || o_orderpriority END AS pinned FROM orders")
+def _view_states(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    text = F.to_json(F.struct(F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("1."), (F.col("o_orderkey") % 3).cast("string"))).alias("version"), F.when(F.col("o_orderstatus") == "F", "strong").when(F.col("o_orderstatus") == "O", "all").otherwise("odd").alias("evidenceFilter"), F.array(F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")), "o_orderpriority").alias("pinnedNodes")))
+    v = o.select("o_orderkey", SRC.view_state(text).alias("v"))
+    return v.select("o_orderkey", F.col("v.version").alias("version"), F.col("v.evidenceFilter").alias("evidence_filter"), F.array_join("v.pinnedNodes", ",").alias("pinned"))
+
+
 on_trade("s01_s02_validated", "SELECT id FROM edges")(lambda g: (g.validate(), g.update(g.nodes, g.edges).edges.select("id"))[1])
 on_trade("s05_x02_graphml_round_trip", "SELECT id, source, target, relation, causal_confidence, strength FROM edges")(lambda g: SRC.parse_graphml(X.as_text(X.graphml(g))).edges.select("id", "source", "target", "relation", "causal_confidence", "strength"))
 register("s07_synthetic")(lambda spark, sf: SRC.synthetic(spark, 200).edges.select("id", "source", "target", "relation", "causal_confidence"))
