@@ -172,13 +172,32 @@ def test_keys_meet_exactly_within_a_bit_of_a_segment(spark):
         bits[k] = bits[0]
         bits[k, flips] ^= 1
     rows = [(int(k), np.packbits(b).tobytes()) for k, b in enumerate(bits)]
-    keys = simhash._keys(spark.createDataFrame(rows, "sid long, sig binary")).toPandas()
-    assert (keys.groupby("sid").size() == simhash.BITS).all()
-    sets = {k: set(g.key) for k, g in keys.groupby("sid")}
+    keys = simhash._keys(spark.createDataFrame([(2 * i, x) for i, x in rows], "sid long, sig binary")).toPandas()
+    own = {k: set(keys[keys.sid == 2 * k].key) for k in range(6)}
+    cut = {k: set(keys[keys.sid == 2 * k + 1].key) for k in range(6)}
+    assert all(len(own[k]) == simhash.SEGMENTS and len(cut[k]) == bits[k].sum() for k in range(6))
     for i in range(6):
         for j in range(i):
             near = any((bits[i, x:y] != bits[j, x:y]).sum() <= 1 for x, y in zip(simhash.CUTS, simhash.CUTS[1:]))
-            assert bool(sets[i] & sets[j]) == near
+            assert bool(own[i] & own[j] or own[i] & cut[j] or cut[i] & own[j]) == near
+
+
+def test_simhash_recall_by_distance(spark):
+    """Direct pairs only, each far from all others: no third text links them."""
+    rng = np.random.default_rng(9)
+    rows, gap = [], {}
+    for k in range(600):
+        a = rng.integers(0, 2, simhash.BITS).astype(np.uint8)
+        b = a.copy()
+        gap[k] = 1 + k % 32
+        b[rng.choice(simhash.BITS, gap[k], replace=False)] ^= 1
+        rows += [(np.packbits(a).tobytes(),), (np.packbits(b).tobytes(),)]
+    signed = spark.createDataFrame(rows, "sig binary")
+    sids = {r.sig: r.sid for r in signed.withColumn("sid", simhash._sid("sig")).collect()}
+    linked = {r.sid: r.root for r in simhash.signature_groups(signed).collect()}
+    found = {k: linked.get(sids[rows[2 * k][0]], 0) == linked.get(sids[rows[2 * k + 1][0]], 1) for k in gap}
+    assert all(found[k] for k in gap if gap[k] <= simhash.REACH)
+    assert np.mean([found[k] for k in gap if gap[k] <= 30]) > 0.9
 
 
 def test_simhash_against_all_pairs(spark):
