@@ -42,8 +42,16 @@ ENTITIES = {
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in ENTITIES.items()))
 TERM = re.compile(r"[^\W\d_]{2,}")
-#: What every entity holds, by its pattern: a digit, an at sign, the beginning of a secret, or 32 hexadecimal letters.
-HINT = re.compile(r"[\d@]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{32}")
+#: What every entity holds, by its pattern: a digit or an at sign, the beginning of a secret, or 32 hexadecimal letters.
+HINT = re.compile(r"[\d@]")
+BEGINNINGS = ("sk-", "sk_", "pk-", "pk_", "ghp-", "ghp_", "xoxb-", "xoxb_", "xoxp-", "xoxp_", "AKIA")
+LETTERS = re.compile("[a-f]{32}")
+
+
+def hinted(text: str) -> bool:
+    """Whether the text may hold an entity."""
+    return HINT.search(text) is not None or any(x in text for x in BEGINNINGS) or LETTERS.search(text) is not None
+
 
 DISCLOSURE = 0.6
 MIN_LINES = 3
@@ -54,7 +62,7 @@ FLUSH = 400_000
 
 def entities(line: str) -> list[tuple[str, str, int, int]]:
     """(class, normalised value, start, end) of each protected entity."""
-    return [(m.lastgroup, re.sub(r"[ ()-]", "", m.group()).lower(), m.start(), m.end()) for m in PATTERN.finditer(line)] if HINT.search(line) else []
+    return [(m.lastgroup, re.sub(r"[ ()-]", "", m.group()).lower(), m.start(), m.end()) for m in PATTERN.finditer(line)] if hinted(line) else []
 
 
 def outside(line: str, found: list[tuple[str, str, int, int]]) -> list[tuple[str, int, int]]:
@@ -72,6 +80,9 @@ def _key(kind: str, value: str) -> str:
     return f"{kind}:{xxhash.xxh3_128_hexdigest(value)}"
 
 
+NONE: frozenset[str] = frozenset()
+
+
 def windows(items: list[frozenset]) -> list[frozenset]:
     """Of each line what it and its neighbours hold."""
     return [x.union(*items[max(0, i - 1) : i], *items[i + 1 : i + 2]) for i, x in enumerate(items)]
@@ -91,7 +102,7 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
         import xxhash
 
         for batch in batches:
-            rows = {(e, xxhash.xxh3_64_intdigest(line) - (1 << 63)) for t in batch.column("text").to_pylist() if t and HINT.search(t) for line in t.split("\n") for k, v, *_ in entities(line) for e in [_key(k, v)]}
+            rows = {(e, xxhash.xxh3_64_intdigest(line) - (1 << 63)) for t in batch.column("text").to_pylist() if t and hinted(t) for line in t.split("\n") for k, v, *_ in entities(line) for e in [_key(k, v)]}
             cols = list(zip(*rows)) if rows else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["entity", "line"])
 
@@ -111,7 +122,7 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
 
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                if not t or not HINT.search(t):
+                if not t or not hinted(t):
                     continue
                 lines = t.split("\n")
                 found = [entities(line) for line in lines]
@@ -142,9 +153,10 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
         for batch in batches:
             for t in batch.column("text").to_pylist():
                 if t:
-                    for near in windows([frozenset(TERM.findall(line)) for line in t.lower().split("\n")]):
+                    lines = [frozenset(TERM.findall(line)) for line in t.lower().split("\n")]
+                    for near in windows([x & few.value for x in lines] if few else lines):
                         seen.update(near)
-                        seen[""] += 1
+                    seen[""] += len(lines)
                 if len(seen) > FLUSH:
                     yield out()
                     seen.clear()
@@ -154,7 +166,11 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
     # Classes, and values that stand on enough lines.
     both = both.join(known.withColumn("known", F.lit(True)), "entity", "left").where(F.col("known") | ~F.col("entity").contains(":"))
     both = checkpoint(both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("line").alias("n_lines")).where((F.col("n_lines") >= min_lines) | (F.col("term") == "")))
-    wanted = both.select("term").distinct()
+    wanted = checkpoint(both.select("term").distinct())
+    # Up to MODEL_ROWS of them tasks count only those; beyond they count all, which gives the same.
+    few = None
+    if wanted.count() <= MODEL_ROWS:
+        few = text.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.collect()))
     lines = checkpoint(text.mapInArrow(counts, "term string, n long").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term")))
     total = lines.where("term = ''").select(F.col("n_term").alias("total"))
     own = both.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
@@ -170,16 +186,20 @@ def disclosing(text: DataFrame, disclosure: float = DISCLOSURE, min_lines: int =
 def clean(text: str | None, model: dict[str, frozenset[str]]) -> tuple[str | None, int, int, int]:
     """(text, entities generalised, terms generalised, terms removed)."""
     always = model.get("*", frozenset())
-    if not text or not (always or HINT.search(text)):
+    named = bool(text) and hinted(text)
+    spread = bool(text and always) and not always.isdisjoint(map(str.lower, TERM.findall(text)))
+    if not (named or spread):
         return text, 0, 0, 0
     lines, counts = text.split("\n"), [0, 0, 0]
-    found = [entities(line) for line in lines] if HINT.search(text) else [[]] * len(lines)
-    near = windows([names(x) for x in found]) if any(found) and model else [frozenset()] * len(lines)
+    found = [entities(line) for line in lines] if named else [[]] * len(lines)
+    near = windows([names(x) if x else NONE for x in found]) if model and any(found) else [NONE] * len(lines)
     for n, line in enumerate(lines):
-        general: frozenset[str] = frozenset().union(*(model.get(e, frozenset()) for e in near[n] if ":" not in e))
-        single = always.union(*(model.get(e, frozenset()) for e in near[n] if ":" in e))
+        if not (near[n] or found[n] or spread):
+            continue
+        general = NONE.union(*(model.get(e, frozenset()) for e in near[n] if ":" not in e))
+        single = (always if spread else NONE).union(*(model.get(e, frozenset()) for e in near[n] if ":" in e))
         cuts = [(a, b, f"[{k}]", 0) for k, _, a, b in found[n]]
-        if general or single:
+        if general or single and (near[n] or not single.isdisjoint(map(str.lower, TERM.findall(line)))):
             for w, a, b in outside(line, found[n]):
                 if w in single:
                     cuts.append((a, b, "", 2))

@@ -396,7 +396,7 @@ def test_values_of_every_form_go(value):
     assert sanitize.clean(f"so it is {value} here", {})[0].split()[3].startswith("[")
 
 
-def test_sanitise_against_brute_force(spark):
+def test_sanitise_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
     texts, secret, mail = [], {}, {}  # the planted values by (text, line), known without any pattern
@@ -413,6 +413,8 @@ def test_sanitise_against_brute_force(spark):
     texts.append(["zorro " + " ".join(rng.choices(vocab, k=8))])
     docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {(r.entity, r.term) for r in sanitize.disclosing(docs.select("text")).collect()}
+    monkeypatch.setattr(sanitize, "MODEL_ROWS", 0)
+    assert got == {(r.entity, r.term) for r in sanitize.disclosing(docs.select("text")).collect()}
     n, both, ent, term, distinct = sum(map(len, texts)), Counter(), Counter(), Counter(), {}
     for d, lines in enumerate(texts):
         for i, line in enumerate(lines):
