@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shared_folder, small_side, table
 
-#: Of one suffix array; about 60 bytes each while it is built, 44 mapped.
+#: Of one suffix array; about 60 bytes each while it is built, 35 mapped.
 SHARD_TOKENS = 4_000_000
 #: Tokens of documents that are matched at once.
 BATCH_TOKENS = 400_000
@@ -108,9 +108,8 @@ def own_phrases(tokens) -> int:
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Lengths of runs for which a shard has a filter, and the bits of each.
+#: Lengths of runs for which a shard has a filter of four to eight bits a token.
 LEVELS = np.array([1, 2, 3, 4, 6])
-FILTER_BITS = 26
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
@@ -119,9 +118,9 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def places(sums: np.ndarray, a: np.ndarray, n: np.ndarray | int, inverse: np.ndarray) -> np.ndarray:
-    """Where the runs of n tokens from a on lie in a filter."""
-    return mix64((sums[a + n] - sums[a]) * inverse[a]) >> np.uint64(64 - FILTER_BITS)
+def places(sums: np.ndarray, a: np.ndarray, n: np.ndarray | int, inverse: np.ndarray, bits: int) -> np.ndarray:
+    """Where the runs of n tokens from a on lie in a filter of 2^bits."""
+    return mix64((sums[a + n] - sums[a]) * inverse[a]) >> np.uint64(64 - bits)
 
 
 def prefix_hashes(hashes: np.ndarray, power: np.ndarray) -> np.ndarray:
@@ -176,13 +175,13 @@ class Shard:
     """A suffix array over the tokens of some documents, each followed by a mark that no text holds."""
 
     #: Its arrays: distinct token hashes, tokens, the suffixes' places, their first tokens
-    #: packed, the next ones, their documents, the steps (of 255 at most) to the nearest suffixes before
+    #: packed, their documents, the steps (of 255 at most) to the nearest suffixes before
     #: and after with another document, prefix hashes, doc_ids, the documents' lengths, and
     #: for each of LEVELS a bit map of its runs.
-    NAMES = ("vocabulary", "tokens", "sa", "key", "key2", "doc", "before", "after", "hashes", "ids", "lengths", "filters")
+    NAMES = ("vocabulary", "tokens", "sa", "key", "doc", "before", "after", "hashes", "ids", "lengths", "filters")
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
-        self.vocabulary, self.tokens, self.sa, self.key, self.key2, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths, self.filters = arrays
+        self.vocabulary, self.tokens, self.sa, self.key, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths, self.filters = arrays
         self.bits = int(len(self.vocabulary) + 2).bit_length()
         self.width = 62 // self.bits
 
@@ -208,7 +207,6 @@ class Shard:
         for k in range(width):
             key = key << bits | padded[k : k + len(token)]
         sa = suffix_array(key, width)
-        key2 = np.append(key[width:], np.zeros(min(width, len(key)), np.int64))[sa]
         doc = np.repeat(doc_of, lengths + 1)[sa].astype(np.int32)
         at = np.arange(len(sa))
         change = np.append(True, doc[1:] != doc[:-1])
@@ -219,12 +217,13 @@ class Shard:
         near = [np.minimum(x, 255).astype(np.uint8) for x in (at - start + 1, end - at)]
         del start, end, change
         inverse = powers(len(flat), INVERSE)
-        filters = np.zeros((len(LEVELS), 1 << (FILTER_BITS - 3)), np.uint8)
+        size = max(10, int(4 * len(flat)).bit_length())
+        filters = np.zeros((len(LEVELS), 1 << (size - 3)), np.uint8)
         for level, n in enumerate(LEVELS.tolist()):
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[places(hashes, at[: max(0, len(flat) - n + 1)], n, inverse)] = True
+            seen = np.zeros(1 << size, bool)
+            seen[places(hashes, at[: max(0, len(flat) - n + 1)], n, inverse, size)] = True
             filters[level] = np.packbits(seen, bitorder="little")
-        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], key2, doc, *near, hashes, names, sums, filters])
+        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], doc, *near, hashes, names, sums, filters])
 
     def save(self, folder: str) -> None:
         files, path = fs.FileSystem.from_uri(folder)
@@ -280,6 +279,13 @@ class Shard:
             key = key << self.bits | np.where(whole, t, 0)
         return key, whole
 
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """The tokens behind the packed ones of the suffixes at `at`, packed."""
+        first, key = self.sa[at].astype(np.int64) + self.width, np.zeros(len(at), np.int64)
+        for k in range(self.width):
+            key = key << self.bits | np.where(first + k < len(self.tokens), self.tokens[np.minimum(first + k, len(self.tokens) - 1)], len(self.vocabulary) + 1)
+        return key
+
     def agree(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The number of first tokens in which packed tokens agree."""
         x = x ^ y
@@ -291,7 +297,7 @@ class Shard:
         at = np.flatnonzero(lo < hi)
         while len(at):
             mid = (lo[at] + hi[at]) // 2
-            its = self.key2[mid]
+            its = self.second(mid)
             less = its <= key[at] if right else its < key[at]
             lo[at] = np.where(less, mid + 1, lo[at])
             hi[at] = np.where(less, hi[at], mid)
@@ -308,7 +314,7 @@ class Shard:
         a = np.flatnonzero((token > 0) & (end - np.arange(n) > best))
         # A longer run than the best is here only if its beginning is.
         level = np.searchsorted(LEVELS, best[a] + 1, "right") - 1
-        place = places(text, a, LEVELS[level], inverse)
+        place = places(text, a, LEVELS[level], inverse, int(self.filters.shape[1]).bit_length() + 2)
         a = a[(self.filters[level, place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
         if not len(a):
             return best
@@ -353,7 +359,7 @@ class Shard:
             at = np.flatnonzero((near >= 0) & (near < size))
             same = self.agree(key[at], self.key[near[at]])
             more = np.flatnonzero(same == self.width)
-            same[more] += self.agree(key2[at[more]], self.key2[near[at[more]]])
+            same[more] += self.agree(key2[at[more]], self.second(near[at[more]]))
             more = np.flatnonzero(same == 2 * self.width)
             far = at[more]
             same[more] += self.common(text, power, a[far] + 2 * self.width, self.sa[near[far]].astype(np.int64) + 2 * self.width, most[far] - 2 * self.width)
