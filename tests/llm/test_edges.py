@@ -121,5 +121,6 @@ def test_stages_on_awkward_rows(spark, docs, items, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(docs.columns) < set(out.columns) and out.count() > 3
