@@ -302,6 +302,34 @@ def compare(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
     return rows.select(F.coalesce("ka", "kb").alias(by), z("n_old").alias("n_old"), z("n_new").alias("n_new"), z("shared").alias("shared"), (z("n_new") - z("n_old")).alias("delta"))
 
 
+def compare_graphs(old: CausalGraph, new: CausalGraph) -> DataFrame:
+    """(kind, n_old, n_new, shared, only_old, only_new) for nodes and edges by id and for distinct (source, target) pairs.
+
+    Both sides meet in one aggregation a kind, which combines before its shuffle; a null id is one value.
+    """
+    z = lambda c: F.coalesce(F.sum(c), F.lit(0))
+
+    def kind(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.withColumns({"o": F.lit(1), "n": F.lit(0)}).unionByName(b.withColumns({"o": F.lit(0), "n": F.lit(1)}))
+        rows = both.groupBy(*a.columns).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+        o, n = F.col("o"), F.col("n")
+        return rows.agg(z(o).alias("n_old"), z(n).alias("n_new"), z(o * n).alias("shared"), z(o * (1 - n)).alias("only_old"), z(n * (1 - o)).alias("only_new")).select(F.lit(name).alias("kind"), "*")
+
+    ends = lambda g: g.edges.select("source", "target")
+    ids = lambda df: df.select("id")
+    return kind("nodes", ids(old.nodes), ids(new.nodes)).unionByName(kind("edges", ids(old.edges), ids(new.edges))).unionByName(kind("pairs", ends(old), ends(new)))
+
+
+def summary(g: CausalGraph) -> DataFrame:
+    """One row (nodes, edges, orphans, orphan_pct, edges_per_node, cited, cited_pct); shares are null where there is nothing to share."""
+    ends = g.edges.select(F.explode(F.array("source", "target")).alias("e")).distinct()
+    nodes = g.nodes.join(ends, F.col("id") == F.col("e"), "left").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("e").isNull()).alias("orphans"))
+    edges = g.edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.coalesce("pmid", F.lit("")) != "").alias("cited"))
+    share = lambda a, b: F.try_divide(F.lit(100.0) * F.col(a), F.col(b))
+    # Each side is one row.
+    return nodes.crossJoin(edges).select("nodes", "edges", "orphans", F.round(share("orphans", "nodes"), 1).alias("orphan_pct"), F.round(F.try_divide(F.col("edges").cast("double"), "nodes"), 2).alias("edges_per_node"), "cited", F.round(share("cited", "edges"), 1).alias("cited_pct"))
+
+
 def candidate_pairs(candidates: DataFrame, current: DataFrame) -> DataFrame:
     """(a, b): distinct unordered pairs of candidates(source, target) that no edge joins in either direction."""
     pair = lambda df: df.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()

@@ -461,6 +461,12 @@ on_trade("m06_append_missing", "SELECT id FROM edges")(lambda g: D.append_missin
 register("m07_compare", "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderpriority <> '5-LOW') SELECT coalesce(x.p, y.p) AS o_orderpriority, coalesce(x.n, 0) AS n_old, coalesce(y.n, 0) AS n_new, (SELECT count(*) FROM a JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderpriority = coalesce(x.p, y.p)) AS shared, coalesce(y.n, 0) - coalesce(x.n, 0) AS delta FROM (SELECT o_orderpriority AS p, count(*) AS n FROM a GROUP BY 1) x FULL JOIN (SELECT o_orderpriority AS p, count(*) AS n FROM b GROUP BY 1) y ON x.p = y.p")(
     lambda spark, sf: (lambda o: D.compare(o.where("id % 3 <> 0"), o.where("id % 3 <> 1 and o_orderpriority <> '5-LOW'"), "o_orderpriority"))(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderpriority"))
 )
+_OVERLAP = lambda kind, cols, a, b: f"SELECT '{kind}' AS kind, (SELECT count(*) FROM (SELECT DISTINCT {cols} FROM {a})) AS n_old, (SELECT count(*) FROM (SELECT DISTINCT {cols} FROM {b})) AS n_new, (SELECT count(*) FROM (SELECT {cols} FROM {a} INTERSECT SELECT {cols} FROM {b})) AS shared, (SELECT count(*) FROM (SELECT {cols} FROM {a} EXCEPT SELECT {cols} FROM {b})) AS only_old, (SELECT count(*) FROM (SELECT {cols} FROM {b} EXCEPT SELECT {cols} FROM {a})) AS only_new"
+_PARTS = "(SELECT * FROM edges WHERE ord % 3 <> 0)", "(SELECT * FROM edges WHERE ord % 3 <> 1)"
+on_trade("m07_compare_graphs", " UNION ALL ".join([_OVERLAP("nodes", "id", "nodes", "(SELECT * FROM nodes WHERE id <> 'N00')"), _OVERLAP("edges", "id", *_PARTS), _OVERLAP("pairs", "source, target", *_PARTS)]))(
+    lambda g: D.compare_graphs(g.update(g.nodes, g.edges.where("ord % 3 <> 0")), g.update(g.nodes.where("id <> 'N00'"), g.edges.where("ord % 3 <> 1")))
+)
+on_trade("m07_summary", ", part AS (SELECT * FROM edges WHERE ord % 7 = 0) SELECT n AS nodes, m AS edges, o AS orphans, round(100.0 * o / n, 1) AS orphan_pct, round(CAST(m AS DOUBLE) / n, 2) AS edges_per_node, c AS cited, round(100.0 * c / m, 1) AS cited_pct FROM (SELECT count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM part WHERE source = nodes.id OR target = nodes.id)) AS o FROM nodes) CROSS JOIN (SELECT count(*) AS m, count(*) FILTER (pmid <> '') AS c FROM part)")(lambda g: D.summary(g.update(g.nodes, g.edges.where("ord % 7 = 0"))))
 on_trade("m08_candidate_pairs", "SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id < y.id WHERE x.module_id = y.module_id AND NOT EXISTS (SELECT 1 FROM edges WHERE (source = x.id AND target = y.id) OR (source = y.id AND target = x.id))")(
     lambda g: D.candidate_pairs(g.nodes.select(F.col("id").alias("source"), "module_id").join(g.nodes.select(F.col("id").alias("target"), "module_id"), "module_id").select("source", "target"), g.edges)
 )
