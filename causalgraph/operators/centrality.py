@@ -152,9 +152,10 @@ def modularity(g: CausalGraph, communities: DataFrame, standard: bool = False) -
     return rows.agg(F.coalesce(F.sum((1 - F.col("ko") * F.col("ki") / F.col("m")) / F.col("m")), F.lit(0.0)).alias("modularity"))
 
 
-def framework_stats(g: CausalGraph) -> DataFrame:
-    """(kind, value, n): nodes by category and role, edges by level."""
+def framework_stats(g: CausalGraph, loops: DataFrame | None = None) -> DataFrame:
+    """(kind, value, n): nodes by category and role, edges by level, and curated loops(type) by type where given."""
     cat = g.nodes.groupBy(F.lit("category").alias("kind"), F.col("category").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     role = g.nodes.select(F.explode("roles").alias("value")).groupBy(F.lit("role").alias("kind"), "value").agg(F.count(F.lit(1)).alias("n"))
     level = g.edges.groupBy(F.lit("level").alias("kind"), F.col("causal_confidence").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return cat.unionByName(role).unionByName(level)
+    stats = cat.unionByName(role).unionByName(level)
+    return stats if loops is None else stats.unionByName(loops.groupBy(F.lit("loop").alias("kind"), F.col("type").alias("value")).agg(F.count(F.lit(1)).alias("n")))

@@ -283,6 +283,25 @@ on_trade("l03_strong_components", ", r(a, b) AS (SELECT id, id FROM nodes UNION
 on_trade("l04_loops_by_node", f"SELECT 'out of ' || source AS id FROM edges GROUP BY source HAVING bool_or(source = '{END}' OR target = '{END}')")(
     lambda g: L.loops_by_node(g.edges.groupBy(F.concat(F.lit("out of "), F.col("source")).alias("id")).agg(F.collect_list("id").alias("edge_ids")), g.edges, END).select("id")
 )
+
+
+
+
+def _curated(g):
+    """A loop document for each node with flows out, as JSON text, read back."""
+    out = g.edges.groupBy("source").agg(F.array_sort(F.collect_list("id")).alias("edgeIds"), F.max("conf_rank").alias("worst"))
+    odd = F.col("worst") % 2 == 1
+    loop = F.struct(
+        F.concat(F.lit("loop_"), F.col("source")).alias("id"), F.when(odd, "balancing").otherwise("reinforcing").alias("type"), "edgeIds",
+        F.when(odd, F.struct(F.col("source").alias("biomarker"), F.lit("early").alias("interventionWindow"))).alias("tippingPoint"),
+    )
+    text = out.select(F.to_json(F.struct(F.array(loop).alias("feedbackLoops"))).alias("value"))
+    return SRC.from_loops(text.select(F.from_json("value", SRC.LOOPS).alias("d")).select("d.*"))
+
+
+_CURATED = ", loops AS (SELECT 'loop_' || source AS id, CASE WHEN max(conf_rank) % 2 = 1 THEN 'balancing' ELSE 'reinforcing' END AS type, count(*) AS n_edges, CASE WHEN max(conf_rank) % 2 = 1 THEN source END AS tipping_biomarker, CASE WHEN max(conf_rank) % 2 = 1 THEN 'early' END AS intervention_window FROM edges GROUP BY source)"
+on_trade("l05_curated_loops", _CURATED + " SELECT * FROM loops")(lambda g: _curated(g).select("id", "type", F.size("edge_ids").cast("bigint").alias("n_edges"), "tipping_biomarker", "intervention_window"))
+on_trade("a09_loop_types", _CURATED + " SELECT 'loop' AS kind, type AS value, count(*) AS n FROM loops GROUP BY type")(lambda g: A.framework_stats(g, _curated(g)).where("kind = 'loop'"))
 _COMP = lambda n, e: f"u AS (SELECT source AS a, target AS b FROM {e} UNION SELECT target, source FROM {e}), r(n, m) AS (SELECT id, id FROM {n} UNION SELECT n, b FROM r JOIN u ON a = m) SELECT n AS node, min(m) AS component FROM r GROUP BY n"
 on_trade("c01_weak_components", ", " + _COMP("nodes", "edges"), stored=True)(lambda g: L.weak_components(g.nodes, g.pairs()))
 register("c01_weak_components_hierarchy", f"WITH RECURSIVE ee AS ({G.HIERARCHY_EDGES}), r(n, m) AS (SELECT DISTINCT source, source FROM ee WHERE source LIKE 'r%' UNION SELECT e.target, r.m FROM r JOIN ee e ON e.source = r.n) SELECT m AS component, count(*) AS size FROM r GROUP BY m")(

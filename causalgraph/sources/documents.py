@@ -51,6 +51,19 @@ def flatten_evidence(edges: DataFrame) -> DataFrame:
     }).drop("evidence")
 
 
+TIPPING = "struct<biomarker:string,threshold:string,timescale:string,interpretation:string,interventionWindow:string>"
+LOOPS = f"feedbackLoops array<struct<id:string,name:string,type:string,description:string,edgeIds:array<string>,clinicalImplication:string,interventionPoints:array<string>,moduleIds:array<string>,tippingPoint:{TIPPING},loopTimescale:string>>"
+
+
+def from_loops(doc: DataFrame) -> DataFrame:
+    """Curated loops of rows (schema LOOPS), one a row in snake case; tipping points as columns, null where a loop has none, lists empty where they lack."""
+    loops = _flat(doc, "feedbackLoops")
+    none = F.array().cast("array<string>")
+    loops = loops.withColumns({c: F.coalesce(c, none) for c in ("edge_ids", "intervention_points", "module_ids")})
+    tips = {f"tipping_{c}": F.col(f"tipping_point.{c}") for c in ("biomarker", "threshold", "timescale", "interpretation")}
+    return loops.withColumns({**tips, "intervention_window": F.col("tipping_point.interventionWindow")}).drop("tipping_point")
+
+
 SIMPLE = "nodes array<struct<id:string,label:string,name:string,category:string,subtype:string,moduleId:string,description:string>>, edges array<struct<id:string,source:string,target:string,relation:string,label:string,causalConfidence:string,moduleId:string>>, modules array<struct<id:string,name:string,color:string>>"
 
 
