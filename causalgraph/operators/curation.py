@@ -137,6 +137,12 @@ def metrics(values: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), middle.alias("median"), at(F.floor(n * 0.25)).alias("p25"), at(F.floor(n * 0.75)).alias("p75"))
 
 
+def most_cited(values: DataFrame, n: int = 10) -> DataFrame:
+    """(place, id, value): the n largest of values(id, value), equals by id; nulls don't count. Each task keeps n rows."""
+    best = values.where("value is not null").select("id", "value").orderBy(F.col("value").desc(), "id").limit(n)
+    return best.select(F.row_number().over(W.orderBy(F.col("value").desc(), "id")).alias("place"), "id", "value")
+
+
 def tier(percentile: Column) -> Column:
     return F.when(percentile >= 90, "landmark").when(percentile >= 75, "high").when(percentile >= 50, "solid").when(percentile >= 25, "modest").otherwise("low")
 

@@ -430,6 +430,16 @@ def _repair(spark, sf):
 register("d09_metrics", "WITH o AS (SELECT o_orderpriority AS p, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT p, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 4) AS mean, median(v) AS median, max(v) FILTER (r = floor(n * 0.25)) AS p25, max(v) FILTER (r = floor(n * 0.75)) AS p75 FROM o GROUP BY p")(
     lambda spark, sf: D.metrics(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("value")), ["p"]).withColumn("mean", F.round("mean", 4))
 )
+register("d09_most_cited", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place, o_orderkey AS id, o_totalprice AS value FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")(
+    lambda spark, sf: D.most_cited(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value")))
+)
+_SIMPLE = F.struct(F.array(F.struct("id", "source", "target", "relation")).alias("edges"))
+on_trade("s04_simple_json", "SELECT CASE WHEN ord % 2 = 0 THEN id ELSE 'e_' || source || '_' || target || '_0' END AS id, source, target, CASE WHEN ord % 3 = 0 THEN 'association' ELSE relation END AS relation, 'default' AS module_id, 'L7' AS causal_confidence FROM edges")(
+    lambda g: SRC.from_simple(g.edges.select(F.when(F.col("ord") % 2 == 0, F.col("id")).alias("id"), "source", "target", F.when(F.col("ord") % 3 != 0, F.col("relation")).alias("relation")).select(F.from_json(F.to_json(_SIMPLE), SRC.SIMPLE).alias("d")).select("d.*")).edges.select("id", "source", "target", "relation", "module_id", "causal_confidence")
+)
+on_trade("s12_view_state", "SELECT id, CASE WHEN ord % 3 = 0 THEN 'strong' END AS filter, id AS selected FROM nodes WHERE ord % 4 <> 0")(
+    lambda g: g.nodes.select("id", SRC.view_state(F.to_json(F.struct(F.when(F.col("ord") % 4 != 0, "1").alias("version"), F.when(F.col("ord") % 3 == 0, "strong").otherwise("odd").alias("evidenceFilter"), F.col("id").alias("selectedNode")))).alias("v")).where("v is not null").select("id", F.col("v.evidenceFilter").alias("filter"), F.col("v.selectedNode").alias("selected"))
+)
 on_trade("d10_verdicts", "SELECT CASE WHEN ord % 3 = 0 THEN 'pending' WHEN ord % 3 = 1 THEN 'supported' ELSE 'refuted' END AS verdict, count(*) AS n FROM edges GROUP BY 1")(lambda g: D.verdict_tally(g.edges.select("id"), g.edges.where("ord % 3 <> 0").select("id", F.when(F.col("ord") % 3 == 1, "supported").otherwise("refuted").alias("verdict"))))
 on_trade("d11_patch_pmids", "SELECT id, CASE WHEN ord % 2 = 0 AND pmid <> '' THEN '1' ELSE pmid END AS pmid FROM edges")(lambda g: D.patch_pmids(g.edges, g.edges.where("pmid <> ''").select("id", F.when(F.col("ord") % 2 == 0, F.col("pmid")).otherwise("other").alias("old_pmid"), F.lit("1").alias("new_pmid"))).select("id", "pmid"))
 register("d12_sentences", "WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda w: length(w) > 4)) AS ws, string_split(text, '. ') AS ss FROM benchmark), s AS (SELECT item_id, ws, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM t), c AS (SELECT item_id, k, len(list_filter(ws, lambda w: contains(lower(s), w))) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rn FROM c) SELECT item_id AS id, CAST(score AS INT) AS score FROM r WHERE rn = 1")(

@@ -1,4 +1,5 @@
 from causalgraph.operators import curation as D
+from causalgraph.sources import documents as SRC
 
 from .fixtures import build
 
@@ -22,3 +23,14 @@ def test_summary(spark):
     assert tuple(D.summary(g).first()) == (3, 2, 1, 33.3, 0.67, 0, 0.0)
     none = g.update(g.nodes.where("false"), g.edges.where("false"))
     assert tuple(D.summary(none).first()) == (0, 0, 0, None, None, 0, None)
+
+
+def test_most_cited(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5), ("d", None), ("e", 1)], "id string, value int")
+    assert [tuple(r) for r in D.most_cited(rows, 3).orderBy("place").collect()] == [(1, "c", 5), (2, "a", 2), (3, "b", 2)]
+    assert D.most_cited(rows.where("false")).count() == 0
+
+
+def test_coordinates(spark):
+    assert sorted(map(tuple, SRC.coordinates(spark, {"a": (1, 2), "b": (0.5, -1)}).collect())) == [("a", 1.0, 2.0), ("b", 0.5, -1.0)]
+    assert SRC.coordinates(spark, {}).count() == 0
