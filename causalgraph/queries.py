@@ -433,9 +433,9 @@ register("d09_metrics", "WITH o AS (SELECT o_orderpriority AS p, o_totalprice AS
 register("d09_most_cited", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place, o_orderkey AS id, o_totalprice AS value FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")(
     lambda spark, sf: D.most_cited(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value")))
 )
-_SIMPLE = F.struct(F.array(F.struct("id", "source", "target", "relation")).alias("edges"))
+_SIMPLE = lambda: F.struct(F.array(F.struct("id", "source", "target", "relation")).alias("edges"))
 on_trade("s04_simple_json", "SELECT CASE WHEN ord % 2 = 0 THEN id ELSE 'e_' || source || '_' || target || '_0' END AS id, source, target, CASE WHEN ord % 3 = 0 THEN 'association' ELSE relation END AS relation, 'default' AS module_id, 'L7' AS causal_confidence FROM edges")(
-    lambda g: SRC.from_simple(g.edges.select(F.when(F.col("ord") % 2 == 0, F.col("id")).alias("id"), "source", "target", F.when(F.col("ord") % 3 != 0, F.col("relation")).alias("relation")).select(F.from_json(F.to_json(_SIMPLE), SRC.SIMPLE).alias("d")).select("d.*")).edges.select("id", "source", "target", "relation", "module_id", "causal_confidence")
+    lambda g: SRC.from_simple(g.edges.select(F.when(F.col("ord") % 2 == 0, F.col("id")).alias("id"), "source", "target", F.when(F.col("ord") % 3 != 0, F.col("relation")).alias("relation")).select(F.from_json(F.to_json(_SIMPLE()), SRC.SIMPLE).alias("d")).select("d.*")).edges.select("id", "source", "target", "relation", "module_id", "causal_confidence")
 )
 on_trade("s12_view_state", "SELECT id, CASE WHEN ord % 3 = 0 THEN 'strong' END AS filter, id AS selected FROM nodes WHERE ord % 4 <> 0")(
     lambda g: g.nodes.select("id", SRC.view_state(F.to_json(F.struct(F.when(F.col("ord") % 4 != 0, "1").alias("version"), F.when(F.col("ord") % 3 == 0, "strong").otherwise("odd").alias("evidenceFilter"), F.col("id").alias("selectedNode")))).alias("v")).where("v is not null").select("id", F.col("v.evidenceFilter").alias("filter"), F.col("v.selectedNode").alias("selected"))
