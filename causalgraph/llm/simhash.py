@@ -7,15 +7,23 @@ indexed as it is, and once for each set bit with that bit deleted: of two segmen
 differ in one bit, the one that has it meets the other one's own value under the
 variant without it.  Variants meet only where some segment is that value itself.
 Equality of keys brings signatures together, the Hamming distance of the whole signatures
-decides, and linked documents form groups.  Pairs of 20 to 32 bits are found where one of their segments agrees so far.
+decides, and linked documents form groups.
+
+Of two signatures at most 32 bits apart, one of the first three segments differs in at most
+three bits or one of the others in at most two, as 3 * 4 + 7 * 3 bits are more than 32.  So
+the rest of the pairs, with no segment within a bit, come from a second pass: a segment is
+cut into one block more than its bits may differ, one block is equal, and signatures with
+the same block look for each other under every mask of so many bits outside of it.
 
 Scale: equal signatures count once; a key carries no text; within a bucket a
 breadth-first search links its members by tree edges, so that thousands of copies give
-thousands of edges, never their pairs; no bucket is cut.
+thousands of edges, never their pairs; no bucket is cut.  The second pass sends each
+signature 33 times, to blocks of 6 to 9 bits, and gives edges between groups of the first.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,10 @@ WORDS64 = BITS // 64
 MAX_DISTANCE = 32
 #: Bits up to which a pair must agree in a segment but for one.
 REACH = 2 * SEGMENTS - 1
+#: Entries of a table of segment values, and rows after which a new one begins with the next block.
+TABLE, ROWS = 1 << 23, 500_000
+#: Pairs that are compared at once; two values with more members than that for a pair are searched breadth first.
+PAIRS, LARGE = 1 << 20, 1 << 14
 
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +150,140 @@ def link(sids: list[int], sigs: list[bytes], max_distance: int) -> list[tuple[in
     return edges
 
 
+def allowances(max_distance: int) -> list[int]:
+    """For each segment a number of bits, so that of any two signatures within max_distance one segment differs in at most its own."""
+    least, more = divmod(max_distance + 1, SEGMENTS)
+    return [least - 1 + (k < more) for k in range(SEGMENTS)]
+
+
+def blocks(max_distance: int) -> list[tuple[int, int, int, int, int]]:
+    """(begin and end of a segment, begin and end of a block in it, bits that may differ), where those are more than one."""
+    out = []
+    for x, y, t in zip(CUTS, CUTS[1:], allowances(max_distance)):
+        if t > 1:
+            ends = [x + round(j * (y - x) / (t + 1)) for j in range(t + 2)]
+            out += [(x, y, a, b, t) for a, b in zip(ends, ends[1:])]
+    return out
+
+
+def _values(bits: np.ndarray) -> np.ndarray:
+    return bits.astype(np.int64) @ (np.int64(1) << np.arange(bits.shape[1], dtype=np.int64))
+
+
+def _unpacked(sig: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+
+
+def _spread(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(key, root, s0 .. s3) of each signature for each block: the block's number and value, the group, the signature."""
+    cut = blocks(max_distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.int64).reshape(-1, WORDS64)
+                bits, rest = _unpacked(sig), [part.column("root"), *(pa.array(sig[:, i]) for i in range(WORDS64))]
+                for j, (_, _, x, y, _) in enumerate(cut):
+                    yield pa.RecordBatch.from_arrays([pa.array(_values(bits[:, x:y]) | np.int64(j << 32)), *rest], ["key", "root", "s0", "s1", "s2", "s3"])
+
+    return rows.select("root", "sig").mapInArrow(run, "key long, root long, s0 long, s1 long, s2 long, s3 long")
+
+
+def across(key: np.ndarray, root: np.ndarray, sig: np.ndarray, block: tuple[int, int, int, int, int], max_distance: int) -> np.ndarray:
+    """(n, 2) distinct pairs of groups with members at most max_distance apart that share the block `key` and differ in two bits or more of its segment, as far as it may."""
+    x, y, a, b, most = block
+    bits = _unpacked(sig)
+    width = y - x - (b - a)
+    value = np.unique(key, return_inverse=True)[1] << width | _values(np.concatenate([bits[:, x:a], bits[:, b:y]], axis=1))
+    del bits
+    order = np.argsort(value, kind="stable")
+    value, root, sig = value[order], root[order], sig[order]
+    start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    count = np.diff(np.append(start, len(value)))
+    low, high = np.minimum.reduceat(root, start), np.maximum.reduceat(root, start)
+    value = value[start]
+    table = np.full((int(value[-1] >> width) + 1) << width, -1, np.int32)
+    table[value] = np.arange(len(value))
+    found, waiting, size = [np.zeros((0, 2), np.int64)], [], 0
+
+    def compare() -> None:
+        g, h = (np.concatenate(z) for z in zip(*waiting))
+        waiting.clear()
+        n = count[g] * count[h]
+        for p, q in zip(g[n > LARGE], h[n > LARGE]):
+            both = np.append(np.arange(start[p], start[p] + count[p]), np.arange(start[q], start[q] + count[q]))
+            if e := link(root[both].tolist(), [z.tobytes() for z in sig[both]], max_distance):
+                found.append(np.unique(np.sort(np.array(e, np.int64), axis=1), axis=0))
+        g, h, n = g[n <= LARGE], h[n <= LARGE], n[n <= LARGE]
+        for lot in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+            own, place = np.repeat(lot, n[lot]), np.arange(n[lot].sum()) - np.repeat(np.cumsum(n[lot]) - n[lot], n[lot])
+            i, j = start[g[own]] + place // count[h[own]], start[h[own]] + place % count[h[own]]
+            other = root[i] != root[j]
+            i, j = i[other], j[other]
+            near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= max_distance
+            if near.any():
+                found.append(np.unique(np.sort(np.stack([root[i[near]], root[j[near]]], axis=1), axis=1), axis=0))
+
+    for top in range(1, width):
+        # Of two values under a mask, the one without its highest bit looks for the other.
+        own = np.flatnonzero(value >> top & 1 == 0)
+        at = value[own]
+        for more in range(1, most):
+            for low_bits in itertools.combinations(range(top), more):
+                hit = table[at ^ np.int64(sum(1 << z for z in low_bits) | 1 << top)]
+                some = np.flatnonzero(hit >= 0)
+                g, h = own[some], hit[some]
+                # Nothing to find between values of one group.
+                apart = (np.minimum(low[g], low[h]) != np.maximum(high[g], high[h]))
+                if apart.any():
+                    waiting.append((g[apart], h[apart]))
+                    size += int((count[g[apart]] * count[h[apart]]).sum())
+                    if size >= PAIRS:
+                        compare()
+                        size = 0
+    if waiting:
+        compare()
+    found = np.concatenate(found)
+    return np.unique(found[found[:, 0] != found[:, 1]], axis=0)
+
+
+def _across(max_distance: int):
+    """Edges between groups from rows sorted by key; see `across`."""
+    cut = blocks(max_distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows, names = 0, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, names
+            if held:
+                m = np.concatenate(held)
+                e = across(m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:]).view(np.uint64), cut[int(m[0, 0] >> 32)], max_distance)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+            held.clear()
+            rows, names = 0, []
+
+        for batch in batches:
+            m = np.stack([batch.column(c).to_numpy() for c in ("key", "root", "s0", "s1", "s2", "s3")], axis=1)
+            for part in np.split(m, np.flatnonzero(np.diff(m[:, 0])) + 1):
+                if not len(part):
+                    continue
+                key = int(part[0, 0])
+                if names and key != names[-1]:
+                    x, y, a, b, _ = cut[key >> 32]
+                    if key >> 32 != names[-1] >> 32 or rows >= ROWS or (len(names) + 1) << (y - x - (b - a)) > TABLE:
+                        yield from done()
+                if not names or key != names[-1]:
+                    names.append(key)
+                held.append(part)
+                rows += len(part)
+        yield from done()
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component of edges(a, b), by least labels with pointer jumping."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
@@ -171,7 +317,15 @@ def signature_groups(signed: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in e], pa.int64()), pa.array([x[1] for x in e], pa.int64())], ["a", "b"])
 
     edges = checkpoint(filled.select("m").mapInArrow(run, "a long, b long").distinct())
-    return components(edges).select(F.col("node").alias("sid"), "root")
+    near = components(edges).select(F.col("node").alias("sid"), "root")
+    if max_distance <= REACH:
+        return near
+    # What no segment brings together within a bit, between the groups so far.
+    rows = checkpoint(ids.join(near, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.col("root").isNotNull().alias("linked"), "sig"))
+    spread = _spread(rows, max_distance).repartition("key").sortWithinPartitions("key")
+    edges = checkpoint(spread.mapInArrow(_across(max_distance), "a long, b long").distinct())
+    far = components(edges).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return rows.join(far, "root", "left").where("linked or least is not null").select("sid", F.coalesce("least", "root").alias("root"))
 
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -181,8 +335,7 @@ def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     distance is the number of differing bits to the kept row.  Texts without a word
     (null, empty, punctuation) have no copies.  Repeated rows are copies of each
     other.  Very long texts are signed whole.  An empty table gives no rows; other columns
-    are ignored.  `max_distance`: every pair up to REACH bits apart is found; beyond, where
-    a segment agrees but for a bit, which grows rarer with the distance.
+    are ignored.  Every pair up to `max_distance` bits apart is linked.
     """
     rows, low = _members(docs, max_distance)
     out = rows.join(low, "root")
