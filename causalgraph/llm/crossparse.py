@@ -12,7 +12,8 @@ Scale: the reference is cut by hash of doc_id into suffix arrays of about `shard
 tokens, written once to the folder that executors share and mapped into memory one after
 the other.  A batch of documents takes the longest match at each position over all of
 them, then the greedy parse; results don't depend on the cut.  Documents aren't
-shuffled.  The work is the documents' tokens times the number of suffix arrays.
+shuffled.  The work is the documents' tokens times the number of suffix arrays, where an
+array costs a position a look into a filter, and a search only if a longer run may be there.
 """
 
 from __future__ import annotations
@@ -108,8 +109,10 @@ def own_phrases(tokens) -> int:
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Lengths of runs for which a shard has a filter of four to eight bits a token.
-LEVELS = np.array([1, 2, 3, 4, 6])
+#: Lengths of runs for which a shard has a filter of eight to sixteen bits a token; a run of one is a phrase, known or not.
+LEVELS = np.array([2, 3, 4, 5, 7])
+#: Turns a run's hash into that of its second place in a filter.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
@@ -118,9 +121,9 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def places(sums: np.ndarray, a: np.ndarray, n: np.ndarray | int, inverse: np.ndarray, bits: int) -> np.ndarray:
-    """Where the runs of n tokens from a on lie in a filter of 2^bits."""
-    return mix64((sums[a + n] - sums[a]) * inverse[a]) >> np.uint64(64 - bits)
+def runs(sums: np.ndarray, a: np.ndarray, n: np.ndarray | int, inverse: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of n tokens from a on; their highest bits, and those times SECOND, are their places in a filter."""
+    return mix64((sums[a + n] - sums[a]) * inverse[a])
 
 
 def prefix_hashes(hashes: np.ndarray, power: np.ndarray) -> np.ndarray:
@@ -175,13 +178,13 @@ class Shard:
     """A suffix array over the tokens of some documents, each followed by a mark that no text holds."""
 
     #: Its arrays: distinct token hashes, tokens, the suffixes' places, their first tokens
-    #: packed, their documents, the steps (of 255 at most) to the nearest suffixes before
-    #: and after with another document, prefix hashes, doc_ids, the documents' lengths, and
-    #: for each of LEVELS a bit map of its runs.
-    NAMES = ("vocabulary", "tokens", "sa", "key", "doc", "before", "after", "hashes", "ids", "lengths", "filters")
+    #: packed, the steps (of 255 at most) to the nearest suffixes before and after with
+    #: another document, prefix hashes, where each text begins and its document, doc_ids,
+    #: the documents' lengths, and for each of LEVELS a bit map of its runs.
+    NAMES = ("vocabulary", "tokens", "sa", "key", "before", "after", "hashes", "begins", "owners", "ids", "lengths", "filters")
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
-        self.vocabulary, self.tokens, self.sa, self.key, self.doc, self.before, self.after, self.hashes, self.ids, self.lengths, self.filters = arrays
+        self.vocabulary, self.tokens, self.sa, self.key, self.before, self.after, self.hashes, self.begins, self.owners, self.ids, self.lengths, self.filters = arrays
         self.bits = int(len(self.vocabulary) + 2).bit_length()
         self.width = 62 // self.bits
 
@@ -215,15 +218,18 @@ class Shard:
         hashes = prefix_hashes(flat, powers(len(flat)))
         sums = np.bincount(doc_of, weights=lengths, minlength=len(names)).astype(np.int64)
         near = [np.minimum(x, 255).astype(np.uint8) for x in (at - start + 1, end - at)]
-        del start, end, change
+        del start, end, change, doc
         inverse = powers(len(flat), INVERSE)
-        size = max(10, int(4 * len(flat)).bit_length())
+        size = max(10, int(8 * len(flat)).bit_length())
         filters = np.zeros((len(LEVELS), 1 << (size - 3)), np.uint8)
         for level, n in enumerate(LEVELS.tolist()):
             seen = np.zeros(1 << size, bool)
-            seen[places(hashes, at[: max(0, len(flat) - n + 1)], n, inverse, size)] = True
+            run = runs(hashes, at[: max(0, len(flat) - n + 1)], n, inverse)
+            seen[run >> np.uint64(64 - size)] = True
+            seen[run * SECOND >> np.uint64(64 - size)] = True
             filters[level] = np.packbits(seen, bitorder="little")
-        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], doc, *near, hashes, names, sums, filters])
+        begins = np.append(0, mark[:-1] + 1)
+        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], *near, hashes, begins, doc_of.astype(np.int64), names, sums, filters])
 
     def save(self, folder: str) -> None:
         files, path = fs.FileSystem.from_uri(folder)
@@ -304,20 +310,29 @@ class Shard:
             at = at[lo[at] < hi[at]]
         return lo
 
-    def longest(self, tokens: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray, best: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-        """For each position of documents that end at `end`, the longest run in another document than `own` (index, or -1), if it is longer than `best`."""
-        n, size, v = len(tokens), len(self.sa), len(self.vocabulary)
-        if not n or not v:
-            return best
-        place = np.minimum(np.searchsorted(self.vocabulary, distinct := np.unique(tokens)), v - 1)
-        token = np.where(self.vocabulary[place] == distinct, place + 1, 0)[np.searchsorted(distinct, tokens)]
-        a = np.flatnonzero((token > 0) & (end - np.arange(n) > best))
-        # A longer run than the best is here only if its beginning is.
-        level = np.searchsorted(LEVELS, best[a] + 1, "right") - 1
-        place = places(text, a, LEVELS[level], inverse, int(self.filters.shape[1]).bit_length() + 2)
-        a = a[(self.filters[level, place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-        if not len(a):
-            return best
+    def known(self, distinct: np.ndarray) -> np.ndarray:
+        """The codes of distinct token hashes, 0 for those that aren't here."""
+        place = np.minimum(np.searchsorted(self.vocabulary, distinct), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[place] == distinct, place + 1, 0)
+
+    def may_hold(self, level: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Which runs, of LEVELS[level] tokens, may be here."""
+        bits, flat = int(self.filters.shape[1]).bit_length() + 2, self.filters.reshape(-1)
+        at = None
+        for factor in (np.uint64(1), SECOND):
+            place = (run if at is None else run[at] * factor) >> np.uint64(64 - bits)
+            row = level if at is None else level[at]
+            hit = np.flatnonzero((flat[(row << (bits - 3)) + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            at = hit if at is None else at[hit]
+        return at
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        """The documents of the suffixes at `at`."""
+        return self.owners[np.searchsorted(self.begins, self.sa[at], "right") - 1]
+
+    def longest(self, token: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions a, in some order, of documents that end at `end`, and the longest run from each in another document than `own` (index, or -1)."""
+        n, size = len(token), len(self.sa)
         key, whole = self.pack(token, a, end[a])
         # In the order of the shard, so that neighbours look at the same places.
         order = np.argsort(key)
@@ -350,10 +365,10 @@ class Shard:
             hi[at] = np.where(less, mid, hi[at])
             lo[at] = np.where(less, lo[at], mid + 1)
             at = at[lo[at] < hi[at]]
-        out = best.copy()
+        out = np.zeros(len(a), np.int64)
         for near, step, sign in ((lo - 1, self.before, -1), (lo, self.after, 1)):
-            at = np.flatnonzero((near >= 0) & (near < size))
-            while len(at := at[self.doc[near[at]] == own[a[at]]]):
+            at = np.flatnonzero((near >= 0) & (near < size) & (own[a] >= 0))
+            while len(at := at[self.document(near[at]) == own[a[at]]]):
                 near[at] += sign * step[near[at]].astype(np.int64)
                 at = at[(near[at] >= 0) & (near[at] < size)]
             at = np.flatnonzero((near >= 0) & (near < size))
@@ -363,8 +378,47 @@ class Shard:
             more = np.flatnonzero(same == 2 * self.width)
             far = at[more]
             same[more] += self.common(text, power, a[far] + 2 * self.width, self.sa[near[far]].astype(np.int64) + 2 * self.width, most[far] - 2 * self.width)
-            out[a[at]] = np.maximum(out[a[at]], same)
-        return out
+            out[at] = np.maximum(out[at], same)
+        return a, out
+
+
+class Batch:
+    """Documents that are matched at once, against one array after the other.
+
+    What doesn't depend on the array is done once: tokens are numbered, and a position
+    keeps the hash of the shortest run that would be a gain there (as far as LEVELS has
+    it) until it gains.  An array is asked for that by its filters, and searched only where they let it pass.
+    """
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> None:
+        self.lengths, self.end, self.power, self.inverse = lengths, np.repeat(np.cumsum(lengths), lengths), power, inverse
+        self.distinct, self.number = np.unique(tokens, return_inverse=True)
+        self.text = prefix_hashes(tokens, power)
+        # A token that occurs nowhere is a phrase as well.
+        self.best = np.ones(len(tokens), np.int64)
+        #: Positions where a longer run has room, its level and its hash.
+        self.at = np.flatnonzero(self.end - np.arange(len(tokens)) > 1)
+        self.level, self.run = self.needed(self.at)
+
+    def needed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level = np.searchsorted(LEVELS, self.best[at] + 1, "right") - 1
+        return level, runs(self.text, at, LEVELS[level], self.inverse)
+
+    def meet(self, shard: Shard, own: np.ndarray) -> None:
+        """Take the longer runs of a shard; `own` is the place of each document in it, or -1."""
+        if not len(self.at) or not len(shard.vocabulary):
+            return
+        a = self.at[shard.may_hold(self.level, self.run)]
+        if not len(a):
+            return
+        a, found = shard.longest(shard.known(self.distinct)[self.number], self.text, self.power, self.end, np.repeat(own, self.lengths), a)
+        gain = found > self.best[a]
+        a = a[gain]
+        self.best[a] = found[gain]
+        moved = np.searchsorted(self.at, np.sort(a))
+        room = self.end[self.at[moved]] - self.at[moved] > self.best[self.at[moved]]
+        self.level[moved[room]], self.run[moved[room]] = self.needed(self.at[moved[room]])
+        self.at, self.level, self.run = (np.delete(x, moved[~room]) for x in (self.at, self.level, self.run))
 
 
 def score(n: int, c: int, own: int, reference: int) -> tuple[int, int, float | None, float | None]:
@@ -439,16 +493,14 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
             lengths = np.array([len(d[2]) for d in docs])
             ends = np.cumsum(lengths)
             tokens = np.concatenate([d[2] for d in docs])
-            end = np.repeat(ends, lengths)
             if (most := max([len(tokens), *(len(s.sa) for s in loaded[key])]) + 1) > len(power):
                 power, inverse = powers(most), powers(most, INVERSE)
-            hashes = prefix_hashes(tokens, power)
-            best, rest = np.zeros(len(tokens), np.int64), np.full(len(docs), totals.get(key, 0))
+            batch, rest = Batch(tokens, lengths, power, inverse), np.full(len(docs), totals.get(key, 0))
             for shard in loaded[key]:
                 own = shard.index([d[0] for d in docs])
                 rest -= np.where(own >= 0, shard.lengths[own], 0)
-                best = shard.longest(tokens, hashes, power, end, np.repeat(own, lengths), best, inverse)
-            steps = np.maximum(best, 1).tolist()
+                batch.meet(shard, own)
+            steps = batch.best.tolist()
             out: dict[str, list] = {k: [] for k in ("doc_id", "lang", "n_tokens", "reference_tokens", "cross_phrases", "self_phrases", "cross_entropy", "relative_entropy")}
             for (doc, lang, own_tokens, phrases), e, n in zip(docs, ends.tolist(), rest.tolist()):
                 at, c = e - len(own_tokens), 0
