@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from causalgraph.llm import simhash
 
 #: Differing bits by segment: one segment differs in just as many as it may, the others in more.
@@ -90,3 +91,20 @@ def test_groups_against_all_pairs_of_far_copies(spark):
     want = simhash.brute_groups(list(range(len(texts))), texts)
     got = {(r.doc_id, r.keep_id) for r in simhash.groups(docs).collect()}
     assert got == set(zip(want.doc_id.tolist(), want.keep_id.tolist())) and len(got) > 300
+
+
+def test_the_stage_keeps_one_of_far_copies(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(150):
+        own = [f"w{i}_{k}" for k in range(120)]
+        other = own.copy()
+        for k in rng.choice(120, 5, replace=False):
+            other[k] = f"x{i}_{k}"
+        texts += [" ".join(own), " ".join(other)]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = simhash.brute_groups(list(range(len(texts))), texts)
+    gone = set(want[want.doc_id != want.keep_id].doc_id.tolist())
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == set(range(len(texts))) - gone and len(gone) > 50
