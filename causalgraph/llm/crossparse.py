@@ -13,7 +13,8 @@ tokens, written once to the folder that executors share and mapped into memory o
 the other.  A batch of documents takes the longest match at each position over all of
 them, then the greedy parse; results don't depend on the cut.  Documents aren't
 shuffled.  The work is the documents' tokens times the number of suffix arrays, where an
-array costs a position a look into a filter, and a search only if a longer run may be there.
+array costs a position a look into a filter, and a search only if a longer run may be there
+and the runs from its neighbours leave its own open.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from __future__ import annotations
 import io
 import math
 import re
+import sys
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shared_folder, small_side, table
 
-#: Of one suffix array; about 60 bytes each while it is built, 35 mapped.
+#: Of one suffix array; about 90 bytes each while it is built, 34 mapped.
 SHARD_TOKENS = 4_000_000
 #: Tokens of documents that are matched at once.
 BATCH_TOKENS = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
+SPACE = re.compile(r"\s")
 SCHEMA = "doc_id long, lang string, n_tokens long, reference_tokens long, cross_phrases long, self_phrases long, cross_entropy double, relative_entropy double"
 
 
@@ -94,23 +98,23 @@ class SuffixAutomaton:
 
 def own_phrases(tokens) -> int:
     """Phrases of the LZ78 parse; an unfinished last one counts."""
-    trie: dict = {}
-    at, count = 0, 0
+    root: dict = {}
+    node, count = root, 0
     for ch in tokens:
-        to = trie.get((at, ch))
+        to = node.get(ch)
         if to is None:
+            node[ch] = {}
             count += 1
-            trie[at, ch] = count
-            at = 0
+            node = root
         else:
-            at = to
-    return count + (at != 0)
+            node = to
+    return count + (node is not root)
 
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Lengths of runs for which a shard has a filter of eight to sixteen bits a token; a run of one is a phrase, known or not.
-LEVELS = np.array([2, 3, 4, 5, 7])
+LEVELS = np.array([2, 3, 4, 6])
 #: Turns a run's hash into that of its second place in a filter.
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -131,27 +135,73 @@ def prefix_hashes(hashes: np.ndarray, power: np.ndarray) -> np.ndarray:
     return np.append(np.uint64(0), np.add.accumulate(hashes * power[: len(hashes)]))
 
 
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point 1 if it is of a word, 2 if it is a mark, 0 if neither, as TOKEN has it; and its hash."""
+    every = "".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(sys.maxunicode + 1))
+    kind = np.zeros(len(every), np.uint8)
+    for k, pattern in ((1, r"\w+"), (2, r"[^\w\s]+")):
+        for m in re.finditer(pattern, every):
+            kind[m.start() : m.end()] = k
+    return kind, mix64(np.arange(len(every), dtype=np.uint64))
+
+
 class Hasher:
-    """Token -> 64-bit hash; remembers what it has met, up to a bound."""
+    """Texts, or lists of tokens, -> 64-bit hashes of their tokens."""
+
+    #: Characters that are hashed at once; about 60 bytes each.
+    CHARS = 1 << 18
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.power, self.inverse = powers(self.CHARS), powers(self.CHARS, INVERSE)
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        known = self.known
-        for t in set(tokens).difference(known):
-            known[t] = xxhash.xxh3_64_intdigest(t)
-        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        return self.texts([" ".join(tokens)])[0]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The hashes of the tokens that TOKEN finds in each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for part in self.parts(text):
+                if held and size + len(part) >= self.CHARS:
+                    self.hash(held, out)
+                    held, size = [], 0
+                held.append((i, part))
+                size += len(part) + 1
+        if held:
+            self.hash(held, out)
+        return [h[0] if len(h) == 1 else np.concatenate([np.zeros(0, np.uint64), *h]) for h in out]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text, if it is long cut where there is space."""
+        at = 0
+        while len(text) - at > self.CHARS and (space := SPACE.search(text, at + self.CHARS // 2)):
+            yield text[at : space.start()]
+            at = space.end()
+        yield text[at:]
+
+    def hash(self, held: list[tuple[int, str]], out: list[list[np.ndarray]]) -> None:
+        kinds, codes = characters()
+        ends = np.cumsum([len(t) + 1 for _, t in held])
+        points = np.frombuffer("\n".join([*(t for _, t in held), ""]).encode("utf-32-le"), np.uint32)
+        if len(points) > len(self.power):
+            self.power, self.inverse = powers(len(points)), powers(len(points), INVERSE)
+        kind = kinds[points]
+        # A word goes on as long as its characters do, a mark stands alone; the last character is a space.
+        word = kind == 1
+        start = np.flatnonzero((kind == 2) | (word & np.append(True, ~word[:-1])))
+        stop = np.flatnonzero((kind == 2) | (word & np.append(~word[1:], True))) + 1
+        sums = prefix_hashes(codes[points], self.power)
+        token = runs(sums, start, stop - start, self.inverse)
+        for (i, _), some in zip(held, np.split(token, np.searchsorted(start, ends[:-1]))):
+            out[i].append(some)
 
 
 def suffix_array(key: np.ndarray, k: int) -> np.ndarray:
     """By prefix doubling, from keys that order the first k tokens of each suffix."""
     n = len(key)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ordered = key[sa]
     first = np.append(True, ordered[1:] != ordered[:-1])
     del ordered
@@ -183,6 +233,9 @@ class Shard:
     #: the documents' lengths, and for each of LEVELS a bit map of its runs.
     NAMES = ("vocabulary", "tokens", "sa", "key", "before", "after", "hashes", "begins", "owners", "ids", "lengths", "filters")
 
+    #: Runs that are put into a filter at once.
+    PART = 1 << 19
+
     def __init__(self, arrays: list[np.ndarray]) -> None:
         self.vocabulary, self.tokens, self.sa, self.key, self.before, self.after, self.hashes, self.begins, self.owners, self.ids, self.lengths, self.filters = arrays
         self.bits = int(len(self.vocabulary) + 2).bit_length()
@@ -209,27 +262,31 @@ class Shard:
         padded = np.append(token, np.full(width, len(vocabulary) + 1, np.int32))
         for k in range(width):
             key = key << bits | padded[k : k + len(token)]
-        sa = suffix_array(key, width)
+        del padded
+        sa = suffix_array(key, width).astype(np.int32)
+        key = key[sa]
         doc = np.repeat(doc_of, lengths + 1)[sa].astype(np.int32)
         at = np.arange(len(sa))
         change = np.append(True, doc[1:] != doc[:-1])
         start = np.maximum.accumulate(np.where(change, at, 0))
         end = np.append(at[change][1:], len(sa))[np.cumsum(change) - 1]
-        hashes = prefix_hashes(flat, powers(len(flat)))
         sums = np.bincount(doc_of, weights=lengths, minlength=len(names)).astype(np.int64)
         near = [np.minimum(x, 255).astype(np.uint8) for x in (at - start + 1, end - at)]
-        del start, end, change, doc
-        inverse = powers(len(flat), INVERSE)
-        size = max(10, int(8 * len(flat)).bit_length())
+        del start, end, change, doc, at
+        hashes = prefix_hashes(flat, powers(len(flat)))
+        del flat
+        inverse = powers(len(token), INVERSE)
+        size = max(10, int(8 * len(token)).bit_length())
         filters = np.zeros((len(LEVELS), 1 << (size - 3)), np.uint8)
         for level, n in enumerate(LEVELS.tolist()):
             seen = np.zeros(1 << size, bool)
-            run = runs(hashes, at[: max(0, len(flat) - n + 1)], n, inverse)
-            seen[run >> np.uint64(64 - size)] = True
-            seen[run * SECOND >> np.uint64(64 - size)] = True
+            for first in range(0, len(token) - n + 1, cls.PART):
+                run = runs(hashes, np.arange(first, min(first + cls.PART, len(token) - n + 1)), n, inverse)
+                seen[run >> np.uint64(64 - size)] = True
+                seen[run * SECOND >> np.uint64(64 - size)] = True
             filters[level] = np.packbits(seen, bitorder="little")
         begins = np.append(0, mark[:-1] + 1)
-        return cls([vocabulary, token.astype(np.int32), sa.astype(np.int32), key[sa], *near, hashes, begins, doc_of.astype(np.int64), names, sums, filters])
+        return cls([vocabulary, token, sa, key, *near, hashes, begins, doc_of.astype(np.int64), names, sums, filters])
 
     def save(self, folder: str) -> None:
         files, path = fs.FileSystem.from_uri(folder)
@@ -330,6 +387,15 @@ class Shard:
         """The documents of the suffixes at `at`."""
         return self.owners[np.searchsorted(self.begins, self.sa[at], "right") - 1]
 
+    def skip(self, near: np.ndarray, step: np.ndarray, sign: int, own: np.ndarray) -> np.ndarray:
+        """The first suffixes from `near` on, or places beyond all, that are of another document than `own`."""
+        near, size = near.copy(), len(self.sa)
+        at = np.flatnonzero((near >= 0) & (near < size) & (own >= 0))
+        while len(at := at[self.document(near[at]) == own[at]]):
+            near[at] += sign * step[near[at]].astype(np.int64)
+            at = at[(near[at] >= 0) & (near[at] < size)]
+        return near
+
     def longest(self, token: np.ndarray, text: np.ndarray, power: np.ndarray, end: np.ndarray, own: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions a, in some order, of documents that end at `end`, and the longest run from each in another document than `own` (index, or -1)."""
         n, size = len(token), len(self.sa)
@@ -339,20 +405,29 @@ class Shard:
         a, key, whole = a[order], key[order], whole[order]
         new = np.append(True, key[1:] != key[:-1])
         some, back = key[new], np.cumsum(new) - 1
-        lo = np.searchsorted(self.key, some, "left")[back]
-        hi = np.where(whole, np.searchsorted(self.key, some, "right")[back], lo)
-        most = end[a] - a
+        lo = np.searchsorted(self.key, some, "left")
+        hi = lo.copy()
+        # No suffix's key holds the zero of a token that isn't known.
+        there = np.flatnonzero(self.key[np.minimum(lo, size - 1)] == some)
+        hi[there] = np.searchsorted(self.key, some[there], "right")
+        lo, hi = lo[back], hi[back]
+        most, own = end[a] - a, own[a]
         # The same among equals by their next tokens.
-        key2, whole = self.pack(token, a + self.width, end[a])
         at = np.flatnonzero(hi > lo)
+        key2 = np.zeros(len(a), np.int64)
+        key2[at], both = self.pack(token, a[at] + self.width, end[a[at]])
         left = self.bound(lo[at], hi[at], key2[at], False)
         right = left.copy()
-        both = whole[at]
         right[both] = self.bound(left[both], hi[at[both]], key2[at[both]], True)
         lo[at], hi[at] = left, right
         known = np.full(len(a), self.width)
         known[at] = 2 * self.width
-        at = np.flatnonzero(lo < hi)
+        # Where all of these are the document's own, the nearest others lie around them.
+        at = np.flatnonzero((lo < hi) & (own >= 0))
+        others = self.skip(lo[at], self.after, 1, own[at])
+        search = lo < hi
+        search[at] = others < hi[at]
+        at = np.flatnonzero(search)
         while len(at):
             mid = (lo[at] + hi[at]) // 2
             b = self.sa[mid].astype(np.int64)
@@ -366,11 +441,8 @@ class Shard:
             lo[at] = np.where(less, lo[at], mid + 1)
             at = at[lo[at] < hi[at]]
         out = np.zeros(len(a), np.int64)
-        for near, step, sign in ((lo - 1, self.before, -1), (lo, self.after, 1)):
-            at = np.flatnonzero((near >= 0) & (near < size) & (own[a] >= 0))
-            while len(at := at[self.document(near[at]) == own[a[at]]]):
-                near[at] += sign * step[near[at]].astype(np.int64)
-                at = at[(near[at] >= 0) & (near[at] < size)]
+        for near, step, sign in ((lo - 1, self.before, -1), (hi, self.after, 1)):
+            near = self.skip(near, step, sign, own)
             at = np.flatnonzero((near >= 0) & (near < size))
             same = self.agree(key[at], self.key[near[at]])
             more = np.flatnonzero(same == self.width)
@@ -386,37 +458,59 @@ class Batch:
     """Documents that are matched at once, against one array after the other.
 
     What doesn't depend on the array is done once: tokens are numbered, and a position
-    keeps the hash of the shortest run that would be a gain there (as far as LEVELS has
-    it) until it gains.  An array is asked for that by its filters, and searched only where they let it pass.
+    keeps the hash of the end of the shortest run that would be a gain there (as long as
+    LEVELS has it) until it gains.  An array is asked for that by its filters, and searched
+    only where they let it pass.  A run may lose its first tokens, so no run from a later
+    position ends before one from an earlier; between two positions with runs that end at
+    the same place no search is needed.
     """
 
+    #: Of the positions that filters let pass, those divisible by the first are searched first.
+    STEPS = (16, 1)
+
     def __init__(self, tokens: np.ndarray, lengths: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> None:
         self.lengths, self.end, self.power, self.inverse = lengths, np.repeat(np.cumsum(lengths), lengths), power, inverse
         self.distinct, self.number = np.unique(tokens, return_inverse=True)
         self.text = prefix_hashes(tokens, power)
-        # A token that occurs nowhere is a phrase as well.
-        self.best = np.ones(len(tokens), np.int64)
+        # Where the longest run from each position ends; a token that occurs nowhere is a phrase as well.
+        self.reach = np.arange(1, len(tokens) + 1)
         #: Positions where a longer run has room, its level and its hash.
-        self.at = np.flatnonzero(self.end - np.arange(len(tokens)) > 1)
+        self.at = np.flatnonzero(self.end > self.reach)
         self.level, self.run = self.needed(self.at)
 
+    @property
+    def best(self) -> np.ndarray:
+        """The length of the longest run from each position."""
+        return self.reach - np.arange(len(self.reach))
+
     def needed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        level = np.searchsorted(LEVELS, self.best[at] + 1, "right") - 1
-        return level, runs(self.text, at, LEVELS[level], self.inverse)
+        after = self.reach[at] + 1
+        level = np.searchsorted(LEVELS, after - at, "right") - 1
+        return level, runs(self.text, after - LEVELS[level], LEVELS[level], self.inverse)
 
     def meet(self, shard: Shard, own: np.ndarray) -> None:
         """Take the longer runs of a shard; `own` is the place of each document in it, or -1."""
         if not len(self.at) or not len(shard.vocabulary):
             return
-        a = self.at[shard.may_hold(self.level, self.run)]
-        if not len(a):
+        left = self.at[shard.may_hold(self.level, self.run)]
+        if not len(left):
             return
-        a, found = shard.longest(shard.known(self.distinct)[self.number], self.text, self.power, self.end, np.repeat(own, self.lengths), a)
-        gain = found > self.best[a]
-        a = a[gain]
-        self.best[a] = found[gain]
-        moved = np.searchsorted(self.at, np.sort(a))
-        room = self.end[self.at[moved]] - self.at[moved] > self.best[self.at[moved]]
+        token, own, before = shard.known(self.distinct)[self.number], np.repeat(own, self.lengths), self.reach[self.at]
+        # The shard has no longer run from a settled position; the last of a document always is one.
+        settled = np.ones(len(token), bool)
+        settled[left] = False
+        for step in self.STEPS:
+            left = left[~settled[left]]
+            done = np.flatnonzero(settled)
+            a = left[(left % step == 0) & (self.reach[left] < self.reach[done[np.searchsorted(done, left)]])]
+            if len(a):
+                settled[a] = True
+                a, found = shard.longest(token, self.text, self.power, self.end, own, a)
+                self.reach[a] = np.maximum(self.reach[a], a + found)
+                # No run reaches into the next document.
+                np.maximum.accumulate(self.reach, out=self.reach)
+        moved = np.flatnonzero(self.reach[self.at] > before)
+        room = self.end[self.at[moved]] > self.reach[self.at[moved]]
         self.level[moved[room]], self.run[moved[room]] = self.needed(self.at[moved[room]])
         self.at, self.level, self.run = (np.delete(x, moved[~room]) for x in (self.at, self.level, self.run))
 
@@ -462,13 +556,14 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
             texts.clear()
 
         for batch in batches:
-            for key, shard, doc, t in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "doc_id", "text"))):
+            columns = [batch.column(c).to_pylist() for c in ("key", "shard", "doc_id", "text")]
+            for key, shard, doc, t, tokens in zip(*columns, hasher.texts(columns[-1])):
                 if (key, shard) != at:
                     yield from done()
                     at, last = (key, shard), None
                 if (doc, t) != last:
                     ids.append(doc)
-                    texts.append(hasher(TOKEN.findall(t)))
+                    texts.append(tokens)
                 last = (doc, t)
         yield from done()
 
@@ -500,12 +595,12 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
                 own = shard.index([d[0] for d in docs])
                 rest -= np.where(own >= 0, shard.lengths[own], 0)
                 batch.meet(shard, own)
-            steps = batch.best.tolist()
+            reach = batch.reach.tolist()
             out: dict[str, list] = {k: [] for k in ("doc_id", "lang", "n_tokens", "reference_tokens", "cross_phrases", "self_phrases", "cross_entropy", "relative_entropy")}
             for (doc, lang, own_tokens, phrases), e, n in zip(docs, ends.tolist(), rest.tolist()):
                 at, c = e - len(own_tokens), 0
                 while at < e:
-                    at += steps[at]
+                    at = reach[at]
                     c += 1
                 for k, v in zip(out, (doc, lang, len(own_tokens), n, *score(len(own_tokens), c, phrases, n))):
                     out[k].append(v)
@@ -515,9 +610,9 @@ def relative_entropy(docs: DataFrame, labels: DataFrame, shard_tokens: int = SHA
             )
 
         for batch in batches:
-            for key, doc, lang, t in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "lang", "text"))):
-                tokens = TOKEN.findall(t) if t else []
-                held.setdefault(key, []).append((doc, lang, hasher(tokens), own_phrases(tokens)))
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "lang", "text")]
+            for key, doc, lang, tokens in zip(*columns[:-1], hasher.texts([t or "" for t in columns[-1]])):
+                held.setdefault(key, []).append((doc, lang, tokens, own_phrases(tokens.tolist())))
                 sizes[key] = sizes.get(key, 0) + len(tokens) + 1
                 if sizes[key] >= BATCH_TOKENS:
                     yield done(key)
