@@ -147,16 +147,20 @@ def extract_year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text.cast("string"), r"([0-9]{4})", 1), F.lit("")).cast("int")
 
 
-def _title_words(t: Column) -> Column:
+def title_words(t: Column) -> Column:
+    """The distinct words of four or more characters."""
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", ""), r"\s+"), lambda w: F.length(w) >= 4))
 
 
+def title_set_similarity(wa: Column, wb: Column) -> Column:
+    """title_similarity of titles whose words were found before, as pairs outnumber titles."""
+    least = F.least(F.size(wa), F.size(wb))
+    return F.when(wa.isNotNull() & wb.isNotNull() & (least > 0), F.size(F.array_intersect(wa, wb)) / least).otherwise(1.0)
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Shared words of four or more characters over the smaller set; 1 where that can't be said."""
-    wa, wb = _title_words(a), _title_words(b)
-    least = F.least(F.size(wa), F.size(wb))
-    usable = a.isNotNull() & b.isNotNull() & (a != "") & (b != "") & (least > 0)
-    return F.when(usable, F.size(F.array_intersect(wa, wb)) / least).otherwise(1.0)
+    return title_set_similarity(title_words(a), title_words(b))
 
 
 def keywords(text: Column, most: int = 8) -> Column:
@@ -179,9 +183,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", ""), r"[\s_-]+"), lambda t: t != "")
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
 def word_overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the larger set; 0 for two empty ones."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    return set_overlap(word_set(a), word_set(b))
+
+
+def set_overlap(x: Column, y: Column) -> Column:
+    """word_overlap of texts whose sets were made before, as pairs outnumber texts."""
     most = F.greatest(F.size(x), F.size(y))
     return F.when(most == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / most)
 

@@ -199,10 +199,10 @@ def map_ids(old: DataFrame, new: DataFrame, fuzzy: float = 0.8, bonus: float = 0
     first = first_by(first_by(same, ["oid"], own.desc(), "no"), ["nid"], own.desc(), "oo")
     label = first.select("oid", "nid", F.lit("label").alias("match"))
     o3, n3 = o2.join(label.select("oid"), "oid", "left_anti"), n2.join(label.select("nid"), "nid", "left_anti")
-    ot = o3.select("oid", "ol", "om", "oo", F.explode(F.array_distinct(S.tokens(F.col("ol")))).alias("t"))
-    nt = n3.select("nid", "nl", "nm", "no", F.explode(F.array_distinct(S.tokens(F.col("nl")))).alias("t"))
-    met = ot.join(nt, "t").select("oid", "ol", "om", "oo", "nid", "nl", "nm", "no").distinct()
-    base = S.word_overlap(F.col("ol"), F.col("nl"))
+    ot = o3.select("oid", "om", "oo", S.word_set(F.col("ol")).alias("x")).withColumn("t", F.explode("x"))
+    nt = n3.select("nid", "nm", "no", S.word_set(F.col("nl")).alias("y")).withColumn("t", F.explode("y"))
+    met = ot.join(nt, "t").select("oid", "om", "oo", "x", "nid", "nm", "no", "y").distinct()
+    base = S.set_overlap(F.col("x"), F.col("y"))
     score = base + F.when((F.col("om") == F.col("nm")) & (base >= bonus_from), bonus).otherwise(0.0)
     met = met.select("oid", "oo", "nid", "no", F.round(score, 9).alias("score")).where(F.col("score") >= fuzzy).withColumn("one", F.lit(1))
 

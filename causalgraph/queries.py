@@ -192,7 +192,7 @@ register("k17_author_year", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-
 _DOCS = "documents.parquet"
 _TW = lambda t: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) >= 4))"
 register("k18_title_similarity", f"WITH x AS (SELECT a.item_id AS a, b.item_id AS b, {_TW('a.text')} AS wa, {_TW('b.text')} AS wb FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id) SELECT a, b, CASE WHEN least(len(wa), len(wb)) = 0 THEN 1.0 ELSE len(list_intersect(wa, wb)) / least(len(wa), len(wb)) END AS similarity FROM x")(
-    lambda spark, sf: (lambda b: b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("tb")), F.col("a") < F.col("b")).select("a", "b", S.title_similarity(F.col("ta"), F.col("tb")).alias("similarity")))(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    lambda spark, sf: (lambda b: b.toDF("a", "wa").join(b.toDF("b", "wb"), F.col("a") < F.col("b")).select("a", "b", S.title_set_similarity(F.col("wa"), F.col("wb")).alias("similarity")))(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", S.title_words(F.col("text"))))
 )
 _STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
 register("k19_keywords", f"""SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[()\\[\\]{{}}"'',;:!?.]', '', 'g'), '[-–—]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND lower(w) NOT IN ({_STOP})), lambda w: regexp_replace(w, 's$', ''))[1:8], ' ') AS keywords FROM benchmark""")(
@@ -200,8 +200,21 @@ register("k19_keywords", f"""SELECT item_id, array_to_string(list_transform(list
 )
 _TK = lambda t: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[^a-z0-9\\s_-]', '', 'g'), '[\\s_-]+'), lambda w: w <> ''))"
 register("k20_word_overlap", f"WITH x AS (SELECT a.p_partkey AS a, b.n_name AS b, {_TK('a.p_name')} AS x, {_TK('b.n_name')} AS y FROM part a CROSS JOIN nation b) SELECT a, b, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS overlap FROM x")(
-    lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").crossJoin(F.broadcast(spark.read.parquet(f"{sf}/nation.parquet"))).select(F.col("p_partkey").alias("a"), F.col("n_name").alias("b"), S.word_overlap(F.col("p_name"), F.col("n_name")).alias("overlap"))
+    lambda spark, sf: _overlaps(spark, spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("ta")), spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("b"), F.col("n_name").alias("tb")))
 )
+
+
+def _overlaps(spark: SparkSession, many: DataFrame, few: DataFrame) -> DataFrame:
+    """(a, b, overlap) of all pairs of many(a, ta) and few(b, tb).
+
+    Tokens are found once a row.  The rows are far smaller than their pairs, so a file
+    that is one task to read is dealt to all cores first.
+    """
+    x = many.repartition(3 * spark.sparkContext.defaultParallelism, "a").select("a", S.word_set(F.col("ta")).alias("x"))
+    y = few.select("b", S.word_set(F.col("tb")).alias("y"))
+    return x.crossJoin(F.broadcast(y)).select("a", "b", S.set_overlap(F.col("x"), F.col("y")).alias("overlap"))
+
+
 register("k21_chemical_segments")(lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.to_json(S.chemical_segments(F.concat(F.lit("H2O Ca^2+ "), F.col("p_brand")))).alias("segments")))
 on_trade("k22_node_type", "SELECT id, CASE subtype WHEN 'Cell' THEN 'cell' WHEN 'protein' THEN 'protein' ELSE 'default' END AS node_type FROM nodes")(lambda g: g.nodes.select("id", S.node_type(F.col("subtype"), {"cell": "cell", "protein": "protein"}, "default").alias("node_type")))
 
