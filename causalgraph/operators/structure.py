@@ -67,10 +67,10 @@ def loops_by_node(loops: DataFrame, edges: DataFrame, node_id: str) -> DataFrame
     return loops.join(hit, "id", "left_semi")
 
 
-def weak_components(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, component) of nodes(id) under pairs(src, dst) of either direction."""
+def weak_components(ids: DataFrame, pairs: DataFrame, closed: bool = False) -> DataFrame:
+    """(node, component) of nodes(id) under pairs(src, dst) of either direction; closed: all ends are among the ids."""
     scope = F.lit(0).alias("scope")
-    return components(ids.select(scope, F.col("id").alias("node")), pairs.select(scope, F.col("src").alias("a"), F.col("dst").alias("b"))).drop("scope")
+    return components(ids.select(scope, F.col("id").alias("node")), pairs.select(scope, F.col("src").alias("a"), F.col("dst").alias("b")), closed).drop("scope")
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .lineage import checkpoint
 
@@ -55,26 +56,51 @@ def relax(edges: DataFrame, seeds: DataFrame, widest: bool = False, max_rounds:
     raise RuntimeError("relaxation does not settle")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, closed: bool = False) -> DataFrame:
     """(scope, node, component): least node of each weak component of edges(scope, a, b) over nodes(scope, node).
 
-    Least labels with pointer jumping: the number of rounds grows with the logarithm of
-    the longest chain.
+    Edges with an end that is no node don't count; closed: there are none, so they aren't
+    looked for.  In a level every node with a smaller neighbour hangs itself under the
+    least one, and the other edges go on between the roots; so nodes on one edge, most of
+    a hierarchy, are done with in the first level.  Of the nodes with edges at most half
+    are left after two levels; trees are cut short by pointer jumping.
     """
-    both = edges.select("scope", "a", "b").union(edges.select("scope", F.col("b"), F.col("a"))).where("a <> b").distinct()
-    both = checkpoint(both.select("scope", F.col("a").alias("node"), F.col("b").alias("other")))
-    low = both.groupBy("scope", "node").agg(F.min("other").alias("m"))
-    label = nodes.select("scope", "node").distinct().join(low, ["scope", "node"], "left").select("scope", "node", F.least("node", F.coalesce("m", "node")).alias("root"))
-    label = checkpoint(label)
+    key = ["scope", "node"]
+    nodes = nodes.select(*key).where("scope is not null and node is not null")
+    left = edges.select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not closed:
+        for end in ("a", "b"):
+            left = left.join(nodes.withColumnRenamed("node", end), ["scope", end], "left_semi")
+    levels: list[DataFrame] = []
+    by = W.partitionBy("scope", "b").orderBy("a")
     while True:
-        via = both.join(label.select("scope", F.col("node").alias("other"), F.col("root").alias("via")), ["scope", "other"]).groupBy("scope", "node").agg(F.min("via").alias("via"))
-        near = label.join(via, ["scope", "node"], "left").select("scope", "node", "root", F.least("root", F.coalesce("via", "root")).alias("low"))
-        jump = label.select("scope", F.col("node").alias("low"), F.col("root").alias("top"))
-        step = near.join(jump, ["scope", "low"]).select("scope", "node", F.least("low", "top").alias("new"), "root")
-        step = checkpoint(step.select("scope", "node", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
-        label = step.drop("moved")
-        if not step.where("moved").head(1):
-            return label.withColumnRenamed("root", "component")
+        left = left.where("a < b").select("scope", "a", "b", F.lag("a").over(by).alias("prev"), F.first("a").over(by).alias("low"))
+        left = checkpoint(left.where("prev is null or prev < a").select("scope", "a", "b", "low"))
+        hung = left.where("a = low").select("scope", F.col("b").alias("node"), F.col("low").alias("root"))
+        rest = left.where("a > low").select("scope", "a", F.col("low").alias("b"))
+        ends = rest.select("scope", F.col("a").alias("node")).union(rest.select("scope", "b")).withColumn("p", F.lit(0))
+        while True:
+            asked = hung.select("scope", F.col("root").alias("node"), F.lit(1).alias("p")).union(ends).groupBy(*key).agg(F.max("p").alias("p"))
+            up = checkpoint(asked.join(hung, key).select("scope", "node", F.col("root").alias("top"), "p"))
+            if not up.where("p = 1").head(1):
+                break
+            over = up.where("p = 1").select("scope", F.col("node").alias("root"), "top")
+            hung = checkpoint(hung.join(over, ["scope", "root"], "left").select("scope", "node", F.coalesce("top", "root").alias("root")))
+        levels.append(hung)
+        if not rest.head(1):
+            break
+        for end in ("a", "b"):
+            rest = rest.join(up.select("scope", F.col("node").alias(end), F.col("top").alias(f"r{end}")), ["scope", end], "left")
+        ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+        left = rest.select("scope", F.least(ra, rb).alias("a"), F.greatest(ra, rb).alias("b"))
+    least = levels.pop()
+    while levels:
+        hung = levels.pop()
+        over = least.select("scope", F.col("node").alias("root"), F.col("root").alias("top"))
+        least = hung.join(over, ["scope", "root"], "left").select("scope", "node", F.coalesce("top", "root").alias("root")).union(least)
+    # A root is less than what hangs under it, so the minimum is the root where there is one.
+    rows = nodes.select("scope", "node", F.col("node").alias("root"), F.lit(1).alias("own")).union(least.withColumn("own", F.lit(0)))
+    return rows.groupBy(*key).agg(F.min("root").alias("component"), F.max("own").alias("own")).where("own = 1").drop("own")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, max_edges: int, stop_at: str | None = None, closing: bool = False, ordered: bool = False) -> DataFrame:

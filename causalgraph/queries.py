@@ -323,7 +323,7 @@ register("c01_weak_components_hierarchy", f"WITH RECURSIVE ee AS ({G.HIERARCHY_E
 
 
 def _regions(e: DataFrame) -> DataFrame:
-    comp = L.weak_components(e.select(F.col("source").alias("id")).union(e.select("target")).distinct(), e.toDF("src", "dst"))
+    comp = L.weak_components(e.select(F.col("source").alias("id")).union(e.select("target")), e.toDF("src", "dst"), closed=True)
     heads = comp.where("node like 'r%'").select(F.col("node").alias("h"), "component")
     return comp.join(heads, "component").groupBy(F.col("h").alias("component")).agg(F.count(F.lit(1)).alias("size"))
 

@@ -1,10 +1,14 @@
 """Queries whose tables grow: what they do once a row, once an edge, and in how many tasks."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from causalgraph import queries as core
 from causalgraph.functions import scalars as S
+from causalgraph.plans import iterate
+from causalgraph.plans.iterate import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +35,41 @@ def test_overlaps_as_one_pair_at_a_time(spark):
     got = key(core._overlaps(spark, rows, few))
     assert len(got) == 28 and {g[2] for g in got} == {None, 0.0, 1.0, 1 / 3, 2 / 3}
     assert got == key(rows.crossJoin(few).select("a", "b", S.word_overlap(F.col("ta"), F.col("tb")).alias("overlap")))
+
+
+def brute(nodes, edges):
+    """Least node of each component, by union of sets."""
+    at = {n: {n} for n in nodes}
+    for s, a, b in edges:
+        if (s, a) in at and (s, b) in at and at[s, a] is not at[s, b]:
+            at[s, a] |= at[s, b]
+            for n in at[s, b]:
+                at[n] = at[s, a]
+    return {(s, n, min(m for _, m in own)) for (s, n), own in at.items()}
+
+
+def test_components_against_brute_force(spark):
+    rng, nodes, edges = random.Random(7), [], []
+    for s, m in enumerate((0, 15, 30, 60)):  # scattered, with loops, doubles and isolated nodes
+        nodes += [(s, f"v{k:02d}") for k in range(50)]
+        edges += [(s, f"v{rng.randrange(50):02d}", f"v{rng.randrange(50):02d}") for _ in range(m)]
+    edges += edges[:9] + [(1, "v01", None), (None, "v01", "v02"), (1, "v01", "gone"), (1, "gone", "v02"), (1, "a", "v03")]
+    path = [f"p{k:03d}" for k in range(200)]
+    nodes += [(4, x) for x in path] + [(5, x) for x in path]
+    edges += [(4, *x) for x in zip(path, path[1:])] + [(5, "p199", x) for x in path[:150]]
+    # Stars whose centres are joined one by one, so that a level leaves work for the next.
+    nodes += [(6, x) for x in (*path, *(f"q{k}" for k in range(6)), "z")]
+    edges += [(6, f"q{k // 30}", x) for k, x in enumerate(path[:180])] + [(6, "z", f"p{k * 30 + 5:03d}") for k in range(5)]
+    got = components(spark.createDataFrame(nodes + nodes[:5], "scope int, node string"), spark.createDataFrame(edges, "scope int, a string, b string")).collect()
+    assert {tuple(r) for r in got} == brute(nodes, edges) and len(got) == len(nodes)
+
+
+def test_ends_of_one_edge_meet_one_level(spark, monkeypatch):
+    # Ten regions with 300 ends each: later levels write nothing of the size of the graph.
+    sizes, real = [], iterate.checkpoint
+    monkeypatch.setattr(iterate, "checkpoint", lambda df: sizes.append((out := real(df)).count()) or out)
+    edges = [("r", f"n{k}") for k in range(10)] + [(f"n{k % 10}", f"o{k:04d}") for k in range(3000)]
+    df = spark.createDataFrame(edges, "a string, b string").withColumn("scope", F.lit(0))
+    got = components(df.select("scope", F.col("a").alias("node")).union(df.select("scope", "b")), df)
+    assert {r.component for r in got.collect()} == {"n0"} and got.count() == 3011
+    assert max(sizes) == 3010 and sorted(sizes)[-2] < 100
