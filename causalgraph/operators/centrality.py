@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..graph import CausalGraph
-from ..plans.iterate import bfs, relax
+from ..plans.iterate import bfs, relax, slices
 from ..plans.lineage import checkpoint
 
 
@@ -96,25 +97,30 @@ def closeness(g: CausalGraph) -> DataFrame:
     return g.nodes.select(F.col("id").alias("node_id")).join(sums, F.col("node_id") == F.col("k"), "left").crossJoin(n).select("node_id", F.coalesce(score, F.lit(0.0)).alias("score")).orderBy(F.round("score", 12).desc(), "node_id")
 
 
-def pagerank(ids: DataFrame, pairs: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def pagerank(ids: DataFrame, pairs: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6, simple: bool = False) -> DataFrame:
     """Rank over pairs(src, dst) with multiplicity; what dangling nodes hold goes to all alike.
 
     Stops once the sum of changes is below `tol`; with tol None after exactly max_iter
     rounds.  The edges are grouped by source once, with their degree; a round
-    is one join and one aggregation.
+    is one join, in tasks of bounded size, and one aggregation.  simple: no pair is
+    repeated, so pairs aren't counted.
     """
     ids = checkpoint(ids.select(F.col("id").alias("node")).distinct())
     n = ids.count()
     if n == 0:
         return ids.select(F.col("node").alias("node_id"), F.lit(0.0).alias("score"))
-    out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = checkpoint(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("share")))
+    many = pairs.where("src is not null")
+    many = many.withColumn("m", F.lit(1)) if simple else many.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    links = checkpoint(many.withColumn("deg", F.sum("m").over(W.partitionBy("src"))).select("src", "dst", (F.col("m") / F.col("deg")).alias("share")))
+    parts = slices(links.count())
+    # The columns change places, as a join right over both shuffles would set their number anew.
+    dealt = links.repartition(parts, "src").select("dst", "share", "src")
     sources = links.select(F.col("src").alias("node")).distinct()
     rank = ids.join(sources.withColumn("live", F.lit(True)), "node", "left").select("node", F.coalesce("live", F.lit(False)).alias("live"), F.lit(1.0 / n).alias("r"))
     rank = checkpoint(rank)
     for k in range(max_iter):
         loose = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(~F.col("live"), F.col("r"))), F.lit(0.0)).alias("loose")))
-        flow = links.join(rank.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
+        flow = dealt.join(rank.select(F.col("node").alias("src"), "r").repartition(parts, "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
         new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)
         step = rank.join(flow, "node", "left").crossJoin(loose).select("node", "live", F.col("r").alias("old"), new.alias("r"))
         # Lineage is cut every second round when no test for the end is due.

@@ -13,6 +13,14 @@ from pyspark.sql.window import Window as W
 
 from .lineage import checkpoint
 
+#: Rows of a table of edges that a task sorts or groups at once.
+EDGES_A_TASK = 500_000
+
+
+def slices(rows: int) -> int:
+    """Tasks for so many edges: their number grows with the table, not what one of them holds."""
+    return max(1, -(-rows // EDGES_A_TASK))
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(scope, node, depth, path): nodes reached over edges(src, dst) from seeds(scope, node).

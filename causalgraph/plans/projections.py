@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence
 from ..graph import CausalGraph
+from .iterate import slices
 
 TRADE_NODES = """
 SELECT 'N' || lpad(CAST(n_nationkey AS STRING), 2, '0') AS id, n_name AS label,
@@ -72,8 +73,14 @@ SUPPLY_EDGES = "SELECT DISTINCT 'S' || CAST(l_suppkey AS STRING) AS source, 'P'
 
 
 def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of suppliers and the parts they have shipped."""
-    return _over(spark, sf_dir, SUPPLY_NODES, "supplier", "part"), _over(spark, sf_dir, SUPPLY_EDGES, "lineitem")
+    """(nodes, edges) of suppliers and the parts they have shipped.
+
+    Pairs hardly repeat, so they are made distinct (SUPPLY_EDGES) where those of a
+    supplier meet, in tasks of bounded size, and not before.
+    """
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pairs = line.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target"))
+    return _over(spark, sf_dir, SUPPLY_NODES, "supplier", "part"), pairs.repartition(slices(line.count()), "source").distinct()
 
 
 HIERARCHY_EDGES = """

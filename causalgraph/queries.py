@@ -243,7 +243,7 @@ p{i} AS (SELECT id, 0.15 / (SELECT count(*) FROM {nodes}) + 0.85 * (coalesce(f,
 
 
 on_trade("a06_pagerank", ", " + _pagerank_sql("nodes", "edges", 20), stored=True)(lambda g: A.pagerank(g.nodes, g.pairs(), max_iter=20, tol=None).select("node_id", F.round("score", 9).alias("score")))
-register("a06_pagerank_supply", f"WITH nn AS ({G.SUPPLY_NODES}), ee AS ({G.SUPPLY_EDGES}), " + _pagerank_sql("nn", "ee", 5))(lambda spark, sf: (lambda n, e: A.pagerank(n, e.toDF("src", "dst"), max_iter=5, tol=None).select("node_id", F.round("score", 9).alias("score")))(*G.supply(spark, sf)))
+register("a06_pagerank_supply", f"WITH nn AS ({G.SUPPLY_NODES}), ee AS ({G.SUPPLY_EDGES}), " + _pagerank_sql("nn", "ee", 5))(lambda spark, sf: (lambda n, e: A.pagerank(n, e.toDF("src", "dst"), max_iter=5, tol=None, simple=True).select("node_id", F.round("score", 9).alias("score")))(*G.supply(spark, sf)))
 on_trade("a07_connectivity", ", m AS (SELECT DISTINCT module_id FROM nodes), x AS (SELECT a.module_id AS s, b.module_id AS t, count(*) AS n, avg(strength) AS w FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id GROUP BY 1, 2) SELECT a.module_id AS source_module, b.module_id AS target_module, coalesce(n, 0) AS edges, CASE WHEN n > 0 THEN CAST(CAST(CAST(round(w, 9) AS DECIMAL(18, 9)) AS DECIMAL(18, 2)) AS VARCHAR) ELSE '0' END AS avg_confidence FROM m a CROSS JOIN m b LEFT JOIN x ON a.module_id = s AND b.module_id = t")(A.module_connectivity)
 on_trade("a08_modularity", ", e AS (SELECT x.*, a.module_id = b.module_id AS own FROM edges x JOIN nodes a ON x.source = a.id JOIN nodes b ON x.target = b.id), ko AS (SELECT source, count(*) AS k FROM edges GROUP BY 1), ki AS (SELECT target, count(*) AS k FROM edges GROUP BY 1) SELECT round(sum((1 - ko.k * ki.k / (SELECT count(*) FROM edges)) / (SELECT count(*) FROM edges)), 9) AS modularity FROM e JOIN ko ON e.source = ko.source JOIN ki ON e.target = ki.target WHERE own")(
     lambda g: A.modularity(g, g.nodes.select(F.col("id").alias("node_id"), F.col("module_id").alias("community"))).select(F.round("modularity", 9).alias("modularity"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from causalgraph import queries as core
 from causalgraph.functions import scalars as S
+from causalgraph.operators import centrality as A
 from causalgraph.plans import iterate
+from causalgraph.plans import projections as G
 from causalgraph.plans.iterate import components
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +75,25 @@ def test_ends_of_one_edge_meet_one_level(spark, monkeypatch):
     got = components(df.select("scope", F.col("a").alias("node")).union(df.select("scope", "b")), df)
     assert {r.component for r in got.collect()} == {"n0"} and got.count() == 3011
     assert max(sizes) == 3010 and sorted(sizes)[-2] < 100
+
+
+def test_edges_a_task_are_bounded(spark, monkeypatch):
+    # The tasks over edges become more with the table; what one of them groups or joins does not grow.
+    monkeypatch.setattr(iterate, "EDGES_A_TASK", 100)
+    nodes, edges = G.supply(spark, SF)
+    assert edges.rdd.getNumPartitions() >= spark.read.parquet(f"{SF}/lineitem.parquet").count() / 100
+    plans, real = [], A.checkpoint
+    monkeypatch.setattr(A, "checkpoint", lambda df: plans.append((out := real(df), df._jdf.queryExecution().executedPlan().toString())[1]) or out)
+    pairs = edges.toDF("src", "dst")
+    got = A.pagerank(nodes, pairs, max_iter=2, tol=None, simple=True)
+    parts = -(-pairs.count() // 100)
+    assert parts > 8 and sum(f", {parts}), REPARTITION_BY_NUM" in p for p in plans) >= 1
+    twice = A.pagerank(nodes, pairs.union(pairs), max_iter=2, tol=None)
+    key = lambda df: {r.node_id: round(r.score, 12) for r in df.collect()}
+    assert key(got) == key(twice) and abs(sum(key(got).values()) - 1) < 1e-6
+
+
+def test_supply_pairs_are_distinct(spark):
+    line = {(f"S{r.l_suppkey}", f"P{r.l_partkey}") for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
+    got = G.supply(spark, SF)[1].collect()
+    assert len(got) == len(line) and {tuple(r) for r in got} == line
